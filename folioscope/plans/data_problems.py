@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.times import iso_instant
 from folioscope.operators import drift, profile, snapshots
-from folioscope.runtime import table
+from folioscope.runtime import table, written
 from folioscope.schema import REPORT
 
 #: Share of all rows, in percent, from which a site is heavy.
@@ -28,7 +28,8 @@ def p1_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.keyed_profile(
+    """The profile of all sites, written once: one row per site, read again for the total."""
+    made = profile.keyed_profile(
         table(spark, d, "manifest"),
         "site",
         rows={"n_rows": F.col("url")},
@@ -36,6 +37,7 @@ def site_profile(spark: SparkSession, d: str) -> DataFrame:
         labelled=(F.col("entry_id"), F.col("status"), STATUSES),
         latest=iso_instant(F.col("crawled_at")),
     )
+    return written(made, "site-profile")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
