@@ -14,8 +14,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.url_identity import file_identity_column
 from folioscope.runtime import scratch_path, written
@@ -28,11 +29,50 @@ BITS_PER_KEY, PROBES = 64, 4
 MAX_ROUNDS = 10_000
 
 
-def winnow(text: Column) -> Column:
-    """Distinct least gram hashes of all windows; a text shorter than a gram gives one fingerprint."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.xxhash64(F.substr(text, i, F.lit(GRAM))))
-    windows = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM + WINDOW - 2), F.lit(1)))
-    return F.array_distinct(F.transform(windows, lambda j: F.array_min(F.slice(grams, j, WINDOW))))
+def winnow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all ``texts`` at once, and the index of the text each belongs to.
+
+    The byte grams of a text are hashed and the least hash in every window is kept; a text with
+    fewer grams than a window has one window. Every text, the empty one included, has a fingerprint.
+    """
+    raw = [t.encode("utf-8", "surrogatepass").ljust(GRAM, b"\0") for t in texts]
+    grams = np.array([len(r) - GRAM + 1 for r in raw], np.int64)
+    slots = np.maximum(grams, WINDOW)
+    starts = np.cumsum(slots) - slots
+    total = int(slots.sum())
+    lengths = grams + GRAM - 1
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    owner = np.repeat(np.arange(len(raw)), lengths)
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # Grams are hashed on the joined bytes; those that cross into the next text are not used.
+    mixed = np.zeros(len(flat), np.uint64)
+    for i in range(GRAM):
+        mixed[: len(flat) - i] |= flat[i:].astype(np.uint64) << np.uint64(8 * i)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    mixed ^= mixed >> np.uint64(31)
+    hashes = np.full(total, np.iinfo(np.uint64).max, np.uint64)
+    whole = inside < grams[owner]
+    hashes[starts[owner[whole]] + inside[whole]] = mixed[whole]
+    span = 1
+    while span < WINDOW:
+        hashes[:-span] = np.minimum(hashes[:-span], hashes[span:])
+        span *= 2
+    slot_owner = np.repeat(np.arange(len(raw)), slots)
+    offset = np.arange(total) - np.repeat(starts, slots)
+    first = offset <= (slots - WINDOW)[slot_owner]
+    kept, of = hashes[first], slot_owner[first]
+    new = np.r_[True, (kept[1:] != kept[:-1]) | (of[1:] != of[:-1])] if len(kept) else np.zeros(0, bool)
+    return kept[new], of[new]
+
+
+@F.pandas_udf(T.LongType())
+def coverage(keys: pd.Series) -> pd.Series:
+    """Sum of a key's fingerprints: equal for texts that share all of them."""
+    prints, of = winnow(keys.to_list())
+    out = np.zeros(len(keys), np.uint64)
+    np.add.at(out, of, prints)
+    return pd.Series(out.view(np.int64))
 
 
 def entry_keys(rows: DataFrame, order: str | None = None) -> DataFrame:
@@ -54,10 +94,6 @@ def _positions(prints: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(PROBES)])
 
 
-def _flat_prints(column: pd.Series) -> np.ndarray:
-    return np.concatenate(column.to_list()).astype(np.int64).view(np.uint64) if len(column) else np.empty(0, np.uint64)
-
-
 @dataclass(frozen=True)
 class HistoryStore:
     """Accepted keys under ``path``: ``keys`` and ``filters``, both appended to by each batch."""
@@ -84,15 +120,15 @@ class HistoryStore:
 
     def _append(self, keys: DataFrame) -> None:
         placed = self._placed(keys).repartition(self.partitions, "part")
-        placed.write.mode("append").partitionBy("part").parquet(f"{self.path}/keys")
+        placed.withColumn("coverage", coverage("key")).write.mode("append").partitionBy("part").parquet(f"{self.path}/keys")
         bits = self.bits
 
         def build(part: tuple, group: pd.DataFrame) -> pd.DataFrame:
             field = np.zeros(bits, np.bool_)
-            field[_positions(_flat_prints(group["prints"]), bits).ravel()] = True
+            field[_positions(winnow(group["key"].to_list())[0], bits).ravel()] = True
             return pd.DataFrame({"part": [part[0]], "field": [np.packbits(field).tobytes()]})
 
-        filters = placed.select("part", winnow(F.col("key")).alias("prints")).groupBy("part").applyInPandas(build, "part int, field binary")
+        filters = placed.select("part", "key").groupBy("part").applyInPandas(build, "part int, field binary")
         filters.write.mode("append").parquet(f"{self.path}/filters")
 
     def append(self, accepted: DataFrame) -> None:
@@ -107,22 +143,21 @@ class HistoryStore:
             if wanted.empty or filters.empty:
                 return wanted[["key"]].iloc[:0]
             field = reduce(np.bitwise_or, (np.frombuffer(f, np.uint8) for f in filters["field"]))
-            at = _positions(_flat_prints(wanted["prints"]), bits)
+            prints, of = winnow(wanted["key"].to_list())
+            at = _positions(prints, bits)
             seen = ((field[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=0)
-            starts = np.r_[0, np.cumsum(wanted["prints"].map(len).to_numpy())[:-1]]
-            return wanted.loc[np.logical_and.reduceat(seen, starts), ["key"]]
+            missed = np.zeros(len(wanted), bool)
+            missed[of[~seen]] = True
+            return wanted.loc[~missed, ["key"]]
 
-        # A large batch is tested in pieces of a partition, each against that partition's filter.
-        placed = self._placed(keys.distinct()).withColumn("prints", winnow(F.col("key")))
-        return placed.groupBy("part").cogroup(self.spark.read.schema("part int, field binary").parquet(f"{self.path}/filters").groupBy("part")).applyInPandas(test, "key string")
+        return self._placed(keys.distinct()).groupBy("part").cogroup(self.spark.read.schema("part int, field binary").parquet(f"{self.path}/filters").groupBy("part")).applyInPandas(test, "key string")
 
     def known(self, keys: DataFrame) -> DataFrame:
         """``(key, entry_id)``: those of ``keys`` that are accepted, with the smallest accepted entry."""
-        hits = self._placed(self.possible(keys)).withColumnRenamed("key", "asked")
-        stored = self.spark.read.schema("key string, entry_id bigint, part int").parquet(f"{self.path}/keys")
-        met = hits.join(stored, (hits["part"] == stored["part"]) & (F.xxhash64(hits["asked"]) == F.xxhash64(stored["key"])))
-        covered = F.size(F.array_except(winnow(F.col("asked")), winnow(F.col("key")))) == 0
-        return met.where((F.col("asked") == F.col("key")) & covered).groupBy("key").agg(F.min("entry_id").alias("entry_id"))
+        hits = self._placed(self.possible(keys)).select("part", F.col("key").alias("asked"), coverage("key").alias("needed"))
+        stored = self.spark.read.schema("key string, entry_id bigint, coverage bigint, part int").parquet(f"{self.path}/keys")
+        met = hits.join(stored, (hits["part"] == stored["part"]) & (hits["needed"] == stored["coverage"]) & (hits["asked"] == stored["key"]))
+        return met.groupBy("key").agg(F.min("entry_id").alias("entry_id"))
 
 
 def first_of_each(open_keys: DataFrame) -> DataFrame:
