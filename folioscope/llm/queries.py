@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import history, writings
+from folioscope.llm import history, leaks, packing, writings
 from folioscope.runtime import table
 
 
+#: Vocabulary that sizes documents; the file must exist on every host.
+VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+CAPACITY = 2048
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats_of_history(table(spark, d, "manifest"), table(spark, d, "manifest_batches"))
 
@@ -23,7 +30,24 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("first").alias("link_id"), F.col("n").alias("n_copies"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records)}
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", VOCABULARY, CAPACITY)
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", F.col("item").alias("item_id")).distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items that leaked, with the number of documents that hold them."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p6_containers, p7_found, p7_items)}
 
 
 def _canonical_sql(column: str) -> str:
