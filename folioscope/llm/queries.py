@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import history, leaks, packing, writings
+from folioscope.llm import abuse, history, leaks, packing, writings
 from folioscope.runtime import table
 
 
@@ -47,7 +47,19 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p6_containers, p7_found, p7_items)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("reviewed").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p6_containers, p7_found, p7_items, p8_found, p8_scores, p8_sources)}
 
 
 def _canonical_sql(column: str) -> str:
