@@ -13,3 +13,36 @@ def iso_instant(text: Column) -> Column:
     whole_day = trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$")
     full = F.when(has_offset, trimmed).when(whole_day, F.concat(trimmed, F.lit("T00:00:00Z"))).otherwise(F.concat(trimmed, F.lit("Z")))
     return F.try_to_timestamp(full)
+
+
+#: From here on a document is not exempt: midnight of 23 September 2018 at +02:00.
+DEADLINE = "2018-09-22T22:00:00Z"
+
+
+def pdf_date(text: Column) -> Column:
+    """Instant of a PDF date ``D:YYYYMMDDHHmmSS`` with offset ``Z``, ``+hh``, ``+hhmm`` or ``+hh'mm'``.
+
+    Missing parts are the first of their kind, a missing or unreadable offset is UTC; an empty text
+    and a placeholder that begins with ``CPY Document`` are null; ISO-8601 is read as well.
+    """
+    t = F.trim(text)
+    shape = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?\s*(?:([Z+-])(\d{2})?'?(\d{2})?'?)?$"
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(t, shape, i), F.lit("")), F.lit(default))
+    sign = F.when(F.regexp_extract(t, shape, 7) == "-", "-").otherwise("+")
+    iso = F.concat(part(1, "0"), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit("T"), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), sign, part(8, "00"), F.lit(":"), part(9, "00"))
+    return F.when(t.isNull() | (t == "") | t.startswith("CPY Document"), F.lit(None).cast("timestamp")).when(t.rlike(shape), F.try_to_timestamp(iso)).otherwise(iso_instant(t))
+
+
+def age_days(at: Column, now: Column) -> Column:
+    return (F.unix_micros(now) - F.unix_micros(at)) / F.lit(86_400_000_000)
+
+
+def age_text(at: Column, now: Column, raw: Column) -> Column:
+    """Whole days, tenths of the first day (half to even), or the raw text if unreadable."""
+    days = age_days(at, now)
+    return F.when(at.isNull(), raw).when(days < 1, F.format_string("%.1f", F.bround(days.cast("decimal(20,6)"), 1).cast("double"))).otherwise(F.floor(days).cast("string"))
+
+
+def is_exempt(at: Column, has_fields: Column) -> Column:
+    """Dated before the deadline and without form fields; null when neither is known."""
+    return F.when(F.coalesce(has_fields, F.lit(False)), False).when(at < F.to_timestamp(F.lit(DEADLINE)), True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,24 @@ def with_previous(df: DataFrame, sequence: str, position: str, carry: str, into:
     blocked = df.withColumn("_block", F.floor(F.col(position) / block))
     inside = Window.partitionBy(sequence, "_block").orderBy(position)
     edges = blocked.groupBy(sequence, "_block").agg(F.max_by(carry, position).alias("_last"))
-    before = edges.withColumn("_before", F.lag("_last").over(Window.partitionBy(sequence).orderBy("_block")))
+    before = edges.withColumn("_carried", F.lag("_last").over(Window.partitionBy(sequence).orderBy("_block")))
     return (
         blocked.withColumn("_inside", F.lag(carry).over(inside))
         .join(before.drop("_last"), [sequence, "_block"])
-        .withColumn(into, F.coalesce("_inside", "_before"))
-        .drop("_block", "_inside", "_before")
+        .withColumn(into, F.coalesce("_inside", "_carried"))
+        .drop("_block", "_inside", "_carried")
     )
+
+
+def running_total(df: DataFrame, position: str, amount: Column, into: str, block: int = 100_000) -> DataFrame:
+    """Add ``into``: the sum of ``amount`` over all rows up to and including this one by ``position``.
+
+    A global running sum, taken inside blocks of ``block`` positions and over the block totals, so
+    no task sees more than one block or one row per block. Rows need a non-null, unique position.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(position) / block)).withColumn("_amount", amount.cast("bigint"))
+    totals = blocked.groupBy("_block").agg(F.sum("_amount").alias("_total"))
+    # One row per block: the only window over all of them.
+    ahead = totals.select("_block", (F.sum("_total").over(Window.orderBy("_block")) - F.col("_total")).alias("_ahead"))
+    inside = Window.partitionBy("_block").orderBy(position)
+    return blocked.withColumn("_inside", F.sum("_amount").over(inside)).join(ahead, "_block").withColumn(into, F.col("_inside") + F.col("_ahead")).drop("_block", "_amount", "_inside", "_ahead")
