@@ -114,7 +114,7 @@ def resolve(base: Column, link: Column) -> Column:
 
 def save_name(url: Column) -> Column:
     """File name a download is kept under: last segment, else a name from the URL's hash; ``.pdf`` if it has no extension."""
-    last = F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1)
+    last = F.try_element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), F.lit(-1))
     name = F.coalesce(last, F.concat(F.lit("doc-"), F.substring(F.md5(url), 1, 8)))
     return F.when(extension(name) == "", F.concat(name, F.lit(".pdf"))).otherwise(name)
 
