@@ -50,4 +50,4 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
