@@ -154,7 +154,8 @@ def _one_block(docs: DataFrame, doc: str, text: str, index: ItemIndex, owners: l
                 s, p = index.matches(t)
                 for one in np.unique(s):
                     out[doc].append(d), out["shingle"].append(int(one)), out["positions"].append(p[s == one].tolist())
-            yield pd.DataFrame(out)
+            if out[doc]:
+                yield pd.DataFrame(out)
 
     known = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, text)
     hits = written(known.mapInPandas(find, f"`{doc}` {doc_kind}, shingle int, positions array<int>"), "shingle-hits")
@@ -182,7 +183,8 @@ def _one_block(docs: DataFrame, doc: str, text: str, index: ItemIndex, owners: l
                 share = _contained(index, u, s, p)
                 if share >= index.shares[u]:
                     rows.append((d, owners[u][0], owners[u][1], share))
-            yield pd.DataFrame(rows, columns=[doc, "item", "part", "share"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[doc, "item", "part", "share"])
 
     return gathered.select(doc, "unit", "hits").mapInPandas(verify, f"`{doc}` {doc_kind}, item {item_kind}, part string, share double")
 
