@@ -14,12 +14,22 @@ _LIST = T.ArrayType(T.StringType())
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """Text of each file at ``path`` (a file, folder or pattern); no rows if there is none."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.globStatus(found):
-        return spark.createDataFrame([], "value string, folder string")
-    return spark.read.text(path, wholetext=True).select("value", F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder"))
+    """Text of each file at ``path`` (a file or pattern); no rows if there is none.
+
+    The state files of a crawl begin with an underscore, which Spark's readers skip, so they are
+    opened through the file system itself: one small file per crawl, limited by its page cap.
+    """
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for status in fs.globStatus(at) or []:
+        if status.isFile():
+            opened = fs.open(status.getPath())
+            try:
+                rows.append((jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"), status.getPath().getParent().toString()))
+            finally:
+                opened.close()
+    return spark.createDataFrame(rows, "value string, folder string")
 
 
 def name_map(spark: SparkSession, path: str, value: str) -> DataFrame:
