@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Labelled documents of each class that the fit uses at most, half of the labelled rows being kept for calibration.
 FIT_DOCUMENTS = 12_000
 ORDINARY_BYTES, ABUSIVE_BYTES = 1_000_000, 250_000
-LEVEL = 19
+LEVEL = 12
 #: Words in a window and from one window to the next; shorter sentences are one window.
 WINDOW, STEP = 9, 3
 #: Score of a document without any word, and threshold while fewer than ``LEAST_POSITIVES`` held-out documents are abusive.
@@ -42,10 +42,11 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏοαεικνρτυωкмт
 STAND_INS = str.maketrans("013457@$", "oieastas")
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_SPREAD = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
-_SPREAD_SIGN = re.compile(r"[ .\-_*]")
+_SPREAD = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
+_SIGN = re.compile(r"[\d@$]")
 _TOKEN = re.compile(r"[\w@$]*[\d@$][\w@$]*")
-_INSIDE = re.compile(r"(?<=[a-z])[.*_\-·•#+~|](?=[a-z])")
+INSERTED = "*_-·•#+~|."
+_INSIDE = re.compile(r"(?<=[a-z])[*_\-·•#+~|.](?=[a-z])")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBER = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
@@ -58,23 +59,30 @@ def plain(text: str) -> str:
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(LOOKALIKES)
     else:
         text = text.lower()
-    text = _SPREAD.sub(lambda m: _SPREAD_SIGN.sub("", m[0]), text)
-    text = _TOKEN.sub(lambda m: m[0].translate(STAND_INS) if any(c.isalpha() for c in m[0]) else m[0], text)
-    return _NUMBER.sub("0", _REPEATED.sub(r"\1", _INSIDE.sub("", text)))
+    if sum(len(w) == 1 for w in text.split(" ")) > 3:
+        text = _SPREAD.sub(lambda m: m[0].replace(" ", ""), text)
+    signed = _SIGN.search(text) is not None
+    if signed:
+        text = _TOKEN.sub(lambda m: m[0].translate(STAND_INS) if any(c.isalpha() for c in m[0]) else m[0], text)
+    if any(c in text for c in INSERTED):
+        text = _INSIDE.sub("", text)
+    if any(c * 3 in text for c in set(text)):
+        text = _REPEATED.sub(r"\1", text)
+    return _NUMBER.sub("0", text) if signed else text
+
+
+def sentence_windows(sentence: str) -> list[str]:
+    """The sentence as one window, or overlapping runs of its words if it is long."""
+    found = _WORD.findall(plain(sentence)) if sentence else []
+    if len(found) <= WINDOW + STEP:
+        return [" ".join(found)] if found else []
+    starts = [*range(0, len(found) - WINDOW, STEP), len(found) - WINDOW]
+    return [" ".join(found[i : i + WINDOW]) for i in starts]
 
 
 def windows(text: str | None) -> list[str]:
-    """Windows over the whole text: each sentence, or overlapping runs of words in a long one."""
-    out = []
-    for sentence in _BREAK.split(text or ""):
-        found = _WORD.findall(plain(sentence)) if sentence else []
-        if len(found) <= WINDOW + STEP:
-            if found:
-                out.append(" ".join(found))
-            continue
-        starts = [*range(0, len(found) - WINDOW, STEP), len(found) - WINDOW]
-        out.extend(" ".join(found[i : i + WINDOW]) for i in starts)
-    return out
+    """Windows over the whole text, sentence by sentence."""
+    return [w for sentence in _BREAK.split(text or "") for w in sentence_windows(sentence)]
 
 
 def _pairs(window: str) -> set[str]:
@@ -144,16 +152,19 @@ class AbuseModel:
         with_ordinary, with_abusive = lengths(self.ordinary), lengths(self.abusive)
         known: dict[str, float] = {}
 
-        def one(window: str) -> float:
-            score = known.get(window)
+        def saved(window: str) -> float:
+            data = window.encode("utf-8", "replace")
+            return (with_ordinary(data) - with_abusive(data)) / (len(window) + 12) * 10
+
+        def of(sentence: str) -> float:
+            score = known.get(sentence)
             if score is None:
                 if len(known) >= CACHE:
                     known.clear()
-                data = window.encode("utf-8", "replace")
-                score = known[window] = (with_ordinary(data) - with_abusive(data)) / (len(window) + 12) * 10
+                score = known[sentence] = max(map(saved, sentence_windows(sentence)), default=LOWEST)
             return score
 
-        return lambda text: max(map(one, windows(text)), default=LOWEST)
+        return lambda text: max(map(of, _BREAK.split(text)), default=LOWEST) if text else LOWEST
 
 
 def _scored(df: DataFrame, model: AbuseModel, text: str, keep: list[str]) -> DataFrame:
