@@ -6,8 +6,8 @@ largest advantage of the abusive dictionary over its windows, and a threshold is
 labelled documents that took no part in the fit. Disguised writing (look-alike letters, digits for
 letters, spread or repeated letters, symbols inside words) is undone first.
 
-The dictionaries hold the training windows themselves, chosen so that each adds wording that is not
-there yet, the most frequent nearest to the end where matches are cheapest. The trainer that comes
+The dictionaries hold the training windows themselves, those that occur repeatedly or add wording
+that is not there yet, the most frequent nearest to the end where matches are cheapest. The trainer that comes
 with zstandard keeps only the most repeated fragments and misses rare wordings (see the README).
 """
 
@@ -96,7 +96,7 @@ def _content(found: Iterable[str], counts: Counter[str], size: int) -> bytes:
     for window in sorted(found, key=lambda w: (-counts[w], w)):
         w = window.split(" ")
         runs = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
-        if 3 * len(runs - seen) >= len(runs):
+        if counts[window] > 1 or 3 * len(runs - seen) >= len(runs):
             encoded = window.encode()
             used += len(encoded) + 1
             if used > size:

@@ -199,9 +199,11 @@ def repeats_of_history(history: DataFrame, batches: DataFrame, order: str = "bat
         new_keys = written(fresh.join(accepted, "entry_id", "left_semi"), "new-keys")
         store.append(new_keys)
         origin = known.unionByName(new_keys.groupBy("key").agg(F.min("entry_id").alias("entry_id")).select("key", "entry_id")).withColumnRenamed("entry_id", "a")
-        out.append(batch.join(origin, "key").groupBy(F.col("entry_id").alias("entry_id_b")).agg(F.min("a").alias("entry_id_a")).where("entry_id_a <> entry_id_b"))
+        # A hot key's batch rows are on the left side of the join, which adaptive execution splits.
+        repeats = batch.join(origin, "key").groupBy(F.col("entry_id").alias("entry_id_b")).agg(F.min("a").alias("entry_id_a")).where("entry_id_a <> entry_id_b")
+        out.append(written(repeats.select("entry_id_a", "entry_id_b"), "repeats"))
     if not out:
         return batches.sparkSession.createDataFrame([], "entry_id_a bigint, entry_id_b bigint")
-    return reduce(DataFrame.unionByName, out).select("entry_id_a", "entry_id_b")
+    return reduce(DataFrame.unionByName, out)
 
 

@@ -41,7 +41,7 @@ def _keyed(df: DataFrame, ident: str, exact: Sequence[str], links: Sequence[str]
     return df.select(F.col(ident).alias("id"), record.alias("record")).select("id", F.unhex(F.md5("record")).alias("h"), F.xxhash64("record").alias("check"))
 
 
-def _resolved(df: DataFrame, keyed: DataFrame, ident: str, exact: Sequence[str], links: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _resolved(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups ``(h, first, n)`` and the keyed rows they belong to, free of hash collisions."""
     groups = written(keyed.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")), "records")
     if groups.where("lo <> hi").isEmpty():
@@ -60,8 +60,7 @@ def distinct_records(df: DataFrame, ident: str, exact: Sequence[str], links: Seq
     records ever share the 128-bit key, the groups are rebuilt on both hashes. Rows with a null id count
     as copies; a record with no id at all has ``first`` null. An empty table gives no rows.
     """
-    keyed = _keyed(df, ident, exact, links)
-    return _resolved(df, keyed, ident, exact, links)[0].select("first", "n")
+    return _resolved(_keyed(df, ident, exact, links))[0].select("first", "n")
 
 
 def copies(df: DataFrame, ident: str, exact: Sequence[str], links: Sequence[str]) -> DataFrame:
@@ -72,7 +71,7 @@ def copies(df: DataFrame, ident: str, exact: Sequence[str], links: Sequence[str]
     null id cannot be named and are left out here.
     """
     keyed = written(_keyed(df, ident, exact, links), "keyed-rows")
-    groups, keyed = _resolved(df, keyed, ident, exact, links)
+    groups, keyed = _resolved(keyed)
     repeated = groups.where("n > 1").select("h", "first", "n")
     hot = repeated.where(F.col("n") >= HOT).select("h", F.col("first").alias("hot_first"))
     rest = repeated.where(F.col("n") < HOT).select(F.col("h").alias("at"), "first")

@@ -50,7 +50,7 @@ def test_collisions_are_parted(spark):
     from pyspark.sql import functions as F
 
     keyed = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "id bigint, check bigint").withColumn("h", F.unhex(F.lit("00")))
-    groups, _ = writings._resolved(keyed, keyed, "id", [], [])
+    groups, _ = writings._resolved(keyed)
     assert {(r["first"], r["n"]) for r in groups.collect()} == {(1, 2), (3, 1)}
 
 
