@@ -64,3 +64,9 @@ def is_language_tag(tag: Column, languages: list[str]) -> Column:
     """Well-formed BCP 47 tag whose primary language is one of ``languages``."""
     shape = r"(?i)^[a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?(-([a-z0-9]{5,8}|[0-9][a-z0-9]{3}))*(-[a-wyz](-[a-z0-9]{2,8})+)*(-x(-[a-z0-9]{1,8})+)?$"
     return tag.rlike(shape) & F.lower(F.substring_index(tag, "-", 1)).isin(*languages)
+
+
+def scan_request(url: Column, max_pages: Column) -> Column:
+    """Query part of a scan request: percent-encoded title and body, with the page cap only if it is positive."""
+    body = F.concat(F.lit("url: "), url, F.when(max_pages > 0, F.concat(F.lit("\nmax-pages: "), max_pages.cast("string"))).otherwise(""))
+    return F.concat(F.lit("title="), percent_encoded(F.concat(F.lit("SCAN: "), url)), F.lit("&body="), percent_encoded(body))

@@ -161,8 +161,8 @@ def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
     Only files that both lost and gained fields are read again, and only those fields are taken from
     them. Documents reported in both files decide: a pair of fields is a rename if its values agree
     on at least three documents and differ on at most a twentieth as many, or, with fewer common
-    values, if additionally the names agree apart from case, underscores and nesting (or, with one
-    or two agreeing values, one name holds the other). Each field is used at most once; the best
+    values, if additionally the names agree apart from case, underscores, nesting and the order of
+    their words (or, with one or two agreeing values, one name holds the other). Each field is used at most once; the best
     supported pair wins, then the more similar names, then the alphabet. A document reported
     repeatedly in a file counts with its smallest value.
     """
@@ -189,7 +189,8 @@ def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
     )
     # Same-named pairs take part even without a common document.
     named = moved.select(F.col(feed.file).alias("step"), F.explode("removed").alias("old_field"), "added").select("step", "old_field", F.explode("added").alias("new_field"))
-    same = _plain(F.col("old_field")) == _plain(F.col("new_field"))
+    letters = lambda c: F.array_sort(F.split(_plain(F.col(c)), ""))
+    same = letters("old_field") == letters("new_field")
     holds = _plain(F.col("old_field")).contains(_plain(F.col("new_field"))) | _plain(F.col("new_field")).contains(_plain(F.col("old_field")))
     pairs = named.join(common, ["step", "old_field", "new_field"], "left").fillna(0, ["equal", "differing"])
     supported = (F.col("differing") * 20 <= F.col("equal")) & ((F.col("equal") >= 3) | same | (holds & (F.col("equal") >= 1)))

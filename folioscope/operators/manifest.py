@@ -93,3 +93,9 @@ def schedule(pending: DataFrame, exists: Column, stale: Column, size_mb: Column,
     )
     counted = running_total(guarded, "entry_pos", F.when(F.col("guard") == "analyse", 1).otherwise(0), "consumed")
     return counted.withColumn("outcome", F.when(F.col("consumed") > max_files, "waiting").otherwise(F.col("guard"))).drop("guard")
+
+
+def needs_analysis(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries that are pending or whose file ``(url, md5)`` is there with other content."""
+    found = files.where("url IS NOT NULL").groupBy("url").agg(F.min("md5").alias("_md5"))
+    return entries.join(found, "url", "left").where((F.col("status") == "pending") | (F.col("_md5").isNotNull() & ~F.col("_md5").eqNullSafe(F.col("md5")))).drop("_md5")
