@@ -66,8 +66,9 @@ def weighted_quantiles(df: DataFrame, key: str, value: str, at: Sequence[float],
     value does not appear. Ties of the mode go to the smallest value.
     """
     freq = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    low, high = freq.agg(F.min("v")).scalar(), freq.agg(F.max("v")).scalar()
-    width = F.greatest(high - low, F.lit(1e-9)) / buckets
+    span = df.agg(F.struct(F.min(F.col(value).cast("double")).alias("low"), F.max(F.col(value).cast("double")).alias("high"))).scalar()
+    low = span["low"]
+    width = F.greatest(span["high"] - low, F.lit(1e-9)) / buckets
     placed = freq.withColumn("b", F.least(F.floor((F.col("v") - low) / width), F.lit(buckets - 1)))
     spans = placed.groupBy(key, "b").agg(F.sum("w").alias("bw"), F.max(F.struct(F.col("w"), -F.col("v"))).alias("top"))
     cumulative = Window.partitionBy(key).orderBy("b")
