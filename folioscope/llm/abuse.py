@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.runtime import spread
+
 #: Labelled documents of each class that the fit uses at most, half of the labelled rows being kept for calibration.
 FIT_DOCUMENTS = 12_000
 ORDINARY_BYTES, ABUSIVE_BYTES = 1_000_000, 250_000
@@ -174,7 +176,7 @@ def _scored(df: DataFrame, model: AbuseModel, text: str, keep: list[str]) -> Dat
             yield b[keep].assign(score=b[text].map(of).astype("float64"))
 
     layout = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys([*keep, text])).mapInPandas(score, f"{layout}, score double")
+    return spread(df.select(*dict.fromkeys([*keep, text]))).mapInPandas(score, f"{layout}, score double")
 
 
 def threshold(histogram: list[tuple[float, int, int]]) -> float:

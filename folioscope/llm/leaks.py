@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.runtime import written
+from folioscope.runtime import spread, written
 
 WORDS = 5
 #: Share of a unit's shingles from which it counts as contained. One changed word spoils five
@@ -158,7 +158,7 @@ def _one_block(docs: DataFrame, doc: str, text: str, index: ItemIndex, owners: l
                 yield pd.DataFrame(out)
 
     known = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, text)
-    hits = written(known.mapInPandas(find, f"`{doc}` {doc_kind}, shingle int, positions array<int>"), "shingle-hits")
+    hits = written(spread(known).mapInPandas(find, f"`{doc}` {doc_kind}, shingle int, positions array<int>"), "shingle-hits")
     frequency = {r[0]: r[1] for r in hits.groupBy("shingle").count().collect()}  # at most the index's shingles
     small = lambda rows: spark.createDataFrame(rows, T.StructType([T.StructField("shingle", T.IntegerType()), T.StructField("unit", T.IntegerType())]))
     prefix = F.broadcast(small(index.prefixes(frequency)))  # bounded by BLOCK items

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.runtime import written
+from folioscope.runtime import spread, written
 
 #: The characters that the pattern takes for white space.
 WHITE = frozenset(" \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
@@ -71,7 +71,7 @@ def sized(df: DataFrame, ident: str, text: str, vocabulary: str) -> DataFrame:
         for batch in batches:
             yield pd.Series(token_counts(batch, encode), dtype="int64")
 
-    return df.select(ident, tokens(text).alias("tokens"))
+    return spread(df.select(ident, text)).select(ident, tokens(text).alias("tokens"))
 
 
 @dataclass
