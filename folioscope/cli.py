@@ -81,7 +81,7 @@ def write_reports(spark: SparkSession, a: argparse.Namespace, now: str) -> None:
     own = held.where(F.col("site") == a.site) if a.site else held
     out = Path(a.report_dir)
     out.mkdir(parents=True, exist_ok=True)
-    (out / "report.md").write_text(sinks.markdown(held, 0), "utf-8")
+    sinks.write_markdown(held, 0, str(out / "report.md"))
     sinks.write_report_json(held, str(out / "report_json"))
     sinks.write_csv(reports.csv_rows(held), str(out / "report_csv"), ["entry_pos"])
     if a.issue_comment_file:

@@ -1,9 +1,10 @@
-"""Report files. Tables are written in parallel; only rendered texts of bounded size pass the driver."""
+"""Report files. Tables are written in parallel; texts that are one file by their format stream through the driver."""
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +27,33 @@ def write_report_json(entries: DataFrame, path: str) -> None:
     reports.report_json(entries).orderBy("entry_pos").select("json").write.mode("overwrite").text(f"{path}/files")
 
 
-def markdown(entries: DataFrame, pages: int) -> str:
-    """The report as Markdown text: summary, files per site, file table, errors."""
-    lines = ["## Summary", "", "| Metric | Value |", "|---|---|"]
-    lines += [f"| {r['metric']} | {r['value']} |" for r in reports.summary_rows(entries, pages).orderBy("ord").toLocalIterator()]
-    lines += ["", "## Files per site", "", "| Site | Files |", "|---|---|"]
-    lines += [f"| {r['site']} | {r['n']} |" for r in reports.files_per_site(entries).orderBy("site").toLocalIterator()]
-    table = [r["line"] for r in reports.markdown_rows(entries).orderBy("entry_pos").toLocalIterator()]
-    lines += ["", "## Files", "", *(table or ["*No analysed file yet.*"])]
-    errors = [f"- {r['url']}: {r['error']}" for r in reports.error_lines(entries).orderBy("entry_pos", "nth").toLocalIterator()]
-    return "\n".join(lines + (["", "## Errors", "", *errors] if errors else [])) + "\n"
+def markdown_lines(entries: DataFrame, pages: int) -> Iterator[str]:
+    """The report as Markdown, line by line: summary, files per site, file table, errors."""
+    yield from ("## Summary", "", "| Metric | Value |", "|---|---|")
+    for r in reports.summary_rows(entries, pages).orderBy("ord").toLocalIterator():
+        yield f"| {r['metric']} | {r['value']} |"
+    yield from ("", "## Files per site", "", "| Site | Files |", "|---|---|")
+    for r in reports.files_per_site(entries).orderBy("site").toLocalIterator():
+        yield f"| {r['site']} | {r['n']} |"
+    yield from ("", "## Files", "")
+    found = False
+    for r in reports.markdown_rows(entries).orderBy("entry_pos").toLocalIterator():
+        found = True
+        yield r["line"]
+    if not found:
+        yield "*No analysed file yet.*"
+    headed = False
+    for r in reports.error_lines(entries).orderBy("entry_pos", "nth").toLocalIterator():
+        if not headed:
+            yield from ("", "## Errors", "")
+            headed = True
+        yield f"- {r['url']}: {r['error']}"
+
+
+def write_markdown(entries: DataFrame, pages: int, path: str) -> None:
+    """One Markdown file; its lines stream through the driver, a partition at a time."""
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.writelines(f"{line}\n" for line in markdown_lines(entries, pages))
 
 
 def issue_comment(entries: DataFrame, limit: int = 30) -> str:

@@ -67,7 +67,7 @@ def test_rendered_reports(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "m.yaml").write_text("- {url: 'https://h/a.pdf', filename: a.pdf, site: h, status: analysed, errors: ['', boom], report: {Accessible: false, TitleTest: Fail, Pages: 2}}\n- {url: u2, site: h, status: pending}\n")
     entries = read_manifest(spark, str(tmp_path / "m.yaml"))
-    text = sinks.markdown(entries, 0)
+    text = "\n".join(sinks.markdown_lines(entries, 0))
     assert "| Total files | 2 |" in text and "URLs crawled" not in text and "boom" in text and "❌ Fail" in text
     assert "1 pending." in sinks.issue_comment(entries)
     name = sinks.archive(spark, entries, "h", "2024-01-02 03:04:05.678", str(tmp_path / "arc"))
