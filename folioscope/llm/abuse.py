@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from folioscope.runtime import spread
 
 #: Labelled documents of each class that the fit uses at most, half of the labelled rows being kept for calibration.
+#: While there are fewer ordinary ones, unlabelled documents stand in: nearly all are ordinary.
 FIT_DOCUMENTS = 12_000
 ORDINARY_BYTES, ABUSIVE_BYTES = 1_000_000, 250_000
 LEVEL = 12
 #: Words in a window and from one window to the next; shorter sentences are one window.
 WINDOW, STEP = 9, 3
 #: Score of a document without any word, and threshold while fewer than ``LEAST_POSITIVES`` held-out documents are abusive.
-LOWEST, DEFAULT_THRESHOLD, LEAST_POSITIVES = -10.0, 2.0, 10
+LOWEST, DEFAULT_THRESHOLD, LEAST_POSITIVES = -10.0, 3.5, 50
 #: Log-odds from which a window counts as abusive wording, and up to which as ordinary wording.
 ABUSIVE_ODDS, ORDINARY_ODDS = 1.2, 0.7
 CACHE = 200_000
@@ -202,6 +203,8 @@ def threshold(histogram: list[tuple[float, int, int]]) -> float:
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "abusive") -> AbuseModel:
     """Fit on half of the labelled documents (at most ``FIT_DOCUMENTS`` of each class), calibrate on all others.
 
+    Where the ordinary class has fewer documents it is filled up to that bound with unlabelled ones,
+    chosen by hash; wording that is typical of the abusive class is told apart by its frequency.
     Documents whose labels contradict each other are left out of the fit; for calibration each of
     their labels counts. Null labels, and labels of unknown documents, are ignored. Only windows of
     the bounded sample and a histogram of scores reach the driver.
@@ -217,7 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         chosen = known.where(condition).where("pmod(place, 2) = 0").orderBy("place", ident).limit(FIT_DOCUMENTS)
         return [list(r[0]) for r in chosen.select(text).mapInPandas(split, "windows array<string>").collect()]
 
-    model = AbuseModel.fit(sample("yes = 0"), sample("yes = all"))
+    def unlabelled(most: int) -> list[list[str]]:
+        share = max(1, -(-docs.count() // most))
+        chosen = docs.select(ident, text).where(F.pmod(F.xxhash64(ident, F.lit("fill")), F.lit(share)) == 0).join(rows, ident, "left_anti").limit(most)
+        return [list(r[0]) for r in chosen.select(text).mapInPandas(split, "windows array<string>").collect()]
+
+    ordinary, abusive = sample("yes = 0"), sample("yes = all")
+    if abusive and len(ordinary) < FIT_DOCUMENTS:
+        ordinary += unlabelled(FIT_DOCUMENTS - len(ordinary))
+    model = AbuseModel.fit(ordinary, abusive)
     if not model.usable:
         return model
     held = _scored(known.where("pmod(place, 2) = 1"), model, text, ["yes", "all"]).withColumn("bin", F.round("score", 1))

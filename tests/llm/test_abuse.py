@@ -26,16 +26,16 @@ def frames(spark, rows, labels):
 
 
 def test_held_out_accuracy(spark):
-    rows, truth = corpus()
-    labels = [(i, int(i in truth) ^ (i % 53 == 0), "a") for i in range(400)] + [(7, 1, "b"), (8, None, "b"), (99999, 1, "b")]
-    odd = [(1000, None, None, 1.0), (1001, "", "s", 1.0), (1002, "?!", "s", 1.0), (1003, "the kettle is sturdy. " * 20_000, "s", 1.0)]
+    rows, truth = corpus(1000)
+    labels = [(i, int(i in truth) ^ (i % 53 == 0), "a") for i in range(700)] + [(7, 1, "b"), (8, None, "b"), (99999, 1, "b")]
+    odd = [(2000, None, None, 1.0), (2001, "", "s", 1.0), (2002, "?!", "s", 1.0), (2003, "the kettle is sturdy. " * 20_000, "s", 1.0)]
     docs, marks = frames(spark, rows + odd, labels)
     got = {r["doc_id"]: r for r in abuse.scores(docs, marks).collect()}
     assert len(got) == len(rows) + 4
-    flagged = {i for i, r in got.items() if r["reviewed"] and 400 <= i < 600}
-    wanted = {i for i in truth if i >= 400}
+    flagged = {i for i, r in got.items() if r["reviewed"] and 700 <= i < 1000}
+    wanted = {i for i in truth if i >= 700}
     assert len(flagged & wanted) >= 0.9 * len(wanted) and len(flagged & wanted) >= 0.9 * len(flagged)
-    assert all(not got[i]["reviewed"] for i in (1000, 1001, 1002, 1003)) and got[1000]["score"] == abuse.LOWEST
+    assert all(not got[i]["reviewed"] for i in (2000, 2001, 2002, 2003)) and got[2000]["score"] == abuse.LOWEST
     rates = {r["source"]: r for r in abuse.rates(abuse.scores(docs, marks)).collect()}
     assert rates[None]["n"] + rates["s"]["n"] == len(got)
 
