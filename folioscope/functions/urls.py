@@ -78,37 +78,39 @@ def link_action(url: Column, domain: Column) -> Column:
 
 
 def _without_dots(p: Column) -> Column:
-    """Path with ``.`` and ``..`` segments resolved."""
+    """Path with ``.`` and ``..`` segments resolved (RFC 3986, section 5.2.4), relative paths included."""
     parts = F.split(p, "/")
     last = F.element_at(parts, -1)
+    root = F.array(F.lit(""))
     kept = F.aggregate(
         parts,
         F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.when(F.size(acc) > 0, 1).otherwise(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).when(F.size(acc) == 1, root).otherwise(acc)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
     )
     joined = F.array_join(kept, "/")
-    return F.when(last.isin(".", "..") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.when(last.isin(".", "..") & (F.size(kept) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """``link`` as seen from the page ``base`` (RFC 3986, section 5.2)."""
-    part = lambda u, i: F.regexp_extract(_clean(u), SPLIT, i)
-    raw = _clean(link)
-    origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
-    tail = F.concat(
-        F.when(raw.contains("?") & ~F.substring_index(raw, "?", 1).contains("#"), F.concat(F.lit("?"), part(link, 4))).otherwise(""),
-        F.when(raw.contains("#"), F.concat(F.lit("#"), part(link, 5))).otherwise(""),
-    )
-    folder = F.regexp_extract(part(base, 3), "^(.*/)", 1)
-    base_query = F.when(part(base, 4) != "", F.concat(F.lit("?"), part(base, 4))).otherwise("")
-    return (
-        F.when(part(link, 1) != "", raw)
-        .when(raw.startswith("//"), F.concat(part(base, 1), F.lit(":"), raw))
-        .when(raw == "", F.concat(origin, part(base, 3), base_query))
-        .when(raw.startswith("#"), F.concat(origin, part(base, 3), base_query, raw))
-        .when(raw.startswith("?"), F.concat(origin, part(base, 3), raw))
-        .when(raw.startswith("/"), F.concat(origin, _without_dots(part(link, 3)), tail))
-        .otherwise(F.concat(origin, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), part(link, 3))), tail))
+    """``link`` as seen from the page ``base`` (RFC 3986, section 5.2), both without outer blanks.
+
+    Parts that are absent stay absent: a base without scheme or host gives a target without.
+    """
+    b, r = (F.regexp_replace(_clean(u), r"^[\x00-\x20]+|[\x00-\x20]+$", "") for u in (base, link))
+    scheme_of = lambda u: F.regexp_extract(u, "^([^:/?#]+:)", 1)
+    host_of = lambda u: F.regexp_extract(u, "^(?:[^:/?#]+:)?(//[^/?#]*)", 1)
+    path_of = lambda u: F.regexp_extract(u, SPLIT, 3)
+    query_of = lambda u: F.regexp_extract(u, r"^[^?#]*(\?[^#]*)", 1)
+    absolute, hosted, p = scheme_of(r) != "", host_of(r) != "", path_of(r)
+    folder = F.when((host_of(b) != "") & (path_of(b) == ""), "/").otherwise(F.regexp_extract(path_of(b), "(?s)^(.*/)", 1))
+    own = absolute | hosted
+    same = ~own & (p == "")
+    return F.concat(
+        F.when(absolute, scheme_of(r)).otherwise(scheme_of(b)),
+        F.when(own, host_of(r)).otherwise(host_of(b)),
+        F.when(same, path_of(b)).otherwise(_without_dots(F.when(own | p.startswith("/"), p).otherwise(F.concat(folder, p)))),
+        F.when(same & (query_of(r) == ""), query_of(b)).otherwise(query_of(r)),
+        F.regexp_extract(r, "(?s)^[^#]*(#.*)", 1),
     )
 
 

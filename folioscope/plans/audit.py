@@ -16,7 +16,7 @@ MAX_MB, MAX_FILES, MAX_AGE_DAYS, TOP = 200, 100, 400, 30
 LANGUAGES = "da de en es fi fr it ja ko nl no pl pt ru sv zh".split()
 
 
-#: Pages whose URL is free of dot segments and empty segments; only these get derived links.
+#: Pages whose URL is free of dot segments and empty segments; the SQL of derived links can follow only these.
 PLAIN_PAGE = r"^https://[a-z0-9.-]+(/[A-Za-z0-9_-][A-Za-z0-9_.-]*)*/?\z"
 
 
@@ -92,18 +92,39 @@ def unique_names(spark, d):
 _HREF = "CASE link_id % 8 WHEN 0 THEN '../a/./b.pdf' WHEN 1 THEN '/x/y.PDF?v=1' WHEN 2 THEN '//cdn.other.example/View' WHEN 3 THEN 'c.html#top' WHEN 4 THEN '/search?q=1' WHEN 5 THEN 'mailto:x@y.example' WHEN 6 THEN '?page=2' ELSE 'https://far.example/doc.' END"
 
 
-def _edges(spark, d):
-    clean = links(spark, d).where(F.col("url").rlike(PLAIN_PAGE))
-    return clean.select("link_id", F.col("url").alias("page"), F.expr(_HREF).alias("href"))
+def _edges(pages):
+    return pages.select("link_id", F.col("url").alias("page"), F.expr(_HREF).alias("href"))
+
+
+def _plain(spark, d):
+    return links(spark, d).where(F.col("url").rlike(PLAIN_PAGE))
+
+
+def _targets(pages):
+    return _edges(pages).select("link_id", urls.resolve(F.col("page"), F.col("href")).alias("target"))
+
+
+def _actions(pages):
+    e = _edges(pages).select("link_id", urls.site_key(urls.authority(F.col("page"))).alias("domain"), urls.resolve(F.col("page"), F.col("href")).alias("target"))
+    return e.select("link_id", urls.link_action(F.col("target"), F.col("domain")).alias("action"))
 
 
 def resolved_links(spark, d):
-    return _edges(spark, d).select("link_id", urls.resolve(F.col("page"), F.col("href")).alias("target"))
+    """Targets on plain pages, as far as SQL can follow; ``resolved_links_all`` has those of every page."""
+    return _targets(_plain(spark, d))
 
 
 def link_actions(spark, d):
-    e = _edges(spark, d).select("link_id", urls.site_key(urls.authority(F.col("page"))).alias("domain"), urls.resolve(F.col("page"), F.col("href")).alias("target"))
-    return e.select("link_id", urls.link_action(F.col("target"), F.col("domain")).alias("action"))
+    """Actions on plain pages, as far as SQL can follow; ``link_actions_all`` has those of every page."""
+    return _actions(_plain(spark, d))
+
+
+def resolved_links_all(spark, d):
+    return _targets(links(spark, d))
+
+
+def link_actions_all(spark, d):
+    return _actions(links(spark, d))
 
 
 def link_inventory(spark, d):
@@ -331,7 +352,7 @@ def index_append(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        url_parts, url_flags, links_per_site, normalized_seeds, save_names, unique_names, resolved_links, link_actions, link_inventory, external_domains,
+        url_parts, url_flags, links_per_site, normalized_seeds, save_names, unique_names, resolved_links, link_actions, resolved_links_all, link_actions_all, link_inventory, external_domains,
         content_md5, duplicate_content, word_counts, escaped_titles, language_tags, crawl_ages, pdf_dates, exempt_orders, permission_bits, archive_names,
         pending_for_site, status_counts, with_errors, manual_review, upsert_manifest, upsert_counts, mark_results, analysis_schedule, verdict_tests, verdict_overall, run_outcomes,
         summary_stats, files_per_site, summary_rows, csv_report, markdown_rows, first_issues, error_lines, sorted_table, optional_columns, failed_rules, producers_union, zero_result_notes,

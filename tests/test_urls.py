@@ -1,3 +1,4 @@
+import re
 from urllib.parse import urljoin, urlparse
 
 import pytest
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import urls
 from folioscope.functions.url_identity import file_identity
+from folioscope.plans import audit
+from tests.conftest import DATA
 
 
 def values(spark, rows, *columns):
@@ -34,6 +37,59 @@ def test_resolution_equals_the_standard_library(spark):
     assert got == [urljoin(base, link) if link != "" else base for link in links]
 
 
+def without_dots(p):
+    """RFC 3986, section 5.2.4, step by step."""
+    out = ""
+    while p:
+        if p.startswith(("../", "./")):
+            p = p[p.index("/") + 1 :]
+        elif p.startswith("/./") or p == "/.":
+            p = "/" + p[3:]
+        elif p.startswith("/../") or p == "/..":
+            p, out = "/" + p[4:], out[: max(out.rfind("/"), 0)]
+        elif p in (".", ".."):
+            p = ""
+        else:
+            end = p.find("/", 1) if "/" in p[1:] else len(p)
+            out, p = out + p[:end], p[end:]
+    return out
+
+
+def resolved(base, link):
+    """RFC 3986, sections 5.2.2 and 5.3, absent parts being None."""
+    split = lambda u: re.match(r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?", re.sub(r"[\t\r\n]", "", u).strip("".join(map(chr, range(33)))), re.S).group(2, 4, 5, 7, 9)
+    (bs, ba, bp, bq, _), (s, a, p, q, f) = split(base), split(link)
+    if s is not None or a is not None:
+        s, p = bs if s is None else s, without_dots(p)
+    elif p == "":
+        s, a, p, q = bs, ba, bp, bq if q is None else q
+    else:
+        merged = "/" + p if ba is not None and bp == "" else bp[: bp.rfind("/") + 1] + p
+        s, a, p = bs, ba, without_dots(p if p.startswith("/") else merged)
+    return "".join(("" if s is None else s + ":", "" if a is None else "//" + a, p, "" if q is None else "?" + q, "" if f is None else "#" + f))
+
+
+UNTIDY = [
+    "https//h.example/a/b.pdf", " https://h.example/a/b.html\r\n", "HTTPS://WWW.H.EXAMPLE/A/.//B/", '"https://h.example/a/b/"', "https://h.example/a//b/../c/./d?x=1&y#z", "https://h.example", "https://h.example?q",
+    "https://u@h.example:8080/a/b;p=1?", "https://h.example//index.html?page=x#", "//h.example/a/b", "/a/b/c", "a", "a/b", "", "mailto:a@b", "https://h.example/%2e/é b/", "https://h.example/a\u2028b/c",
+]
+LINKS = ["../a/./b.pdf", "/x/y.PDF?v=1", "//cdn.other.example/a/../View", "c.html#top", "?page=2", "?", "#", "", "mailto:x@y", "https://far.example/./doc.", "..", ".", "./", "../../../..//d/.", "/..", "a/b/../../../c", " d.html ", "#a?b#c"]
+
+
+def test_resolution_on_untidy_pages_equals_the_rfc(spark):
+    pairs = [(b, link) for b in UNTIDY for link in LINKS]
+    got = [r[0] for r in values(spark, pairs, urls.resolve(F.col("c0"), F.col("c1")))]
+    assert [(p, g) for p, g in zip(pairs, got, strict=True) if g != resolved(*p)] == []
+
+
+def test_every_crawled_url_gets_a_target_and_an_action(spark):
+    rows = audit.links(spark, DATA).select("link_id", "url", F.expr(audit._HREF).alias("href")).collect()
+    got = {r["link_id"]: r["target"] for r in audit.QUERIES["resolved_links_all"](spark, DATA).collect()}
+    assert len(got) == len(rows) and all(got[r["link_id"]] == resolved(r["url"], r["href"]) for r in rows)
+    actions = audit.QUERIES["link_actions_all"](spark, DATA)
+    assert actions.where("action IS NOT NULL").count() == len(rows)
+
+
 def test_link_actions_in_order(spark):
     rows = [("ftp://x/y.pdf",), ("https://far.example/y.PDF",), ("https://s.example/doc.pdf/",), ("https://s.example/search/a",), ("https://far.example/page",), ("https://far.example/p.html",), ("https://www.s.example/p",), ("/rel",), ("https://cdn.s.example/x",)]
     got = [r[0] for r in values(spark, rows, urls.link_action(F.col("c0"), F.lit("s.example")))]
