@@ -45,11 +45,14 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏοαεικνρτυωкмт
 STAND_INS = str.maketrans("013457@$", "oieastas")
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_SPREAD = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
+_SPREAD = re.compile(r"(?<![^\W_])(?:[^\W_][ *_\-·•#+~|.]){3,}[^\W_](?![^\W_])")
+#: Inner letters that every match of ``_SPREAD`` has; cheaper to search for.
+_SPREAD_INNER = re.compile(r"[ *_\-·•#+~|.][^\W_][ *_\-·•#+~|.][^\W_][ *_\-·•#+~|.]")
+_SPREAD_SIGN = re.compile(r"[ *_\-·•#+~|.]")
 _SIGN = re.compile(r"[\d@$]")
 _TOKEN = re.compile(r"[\w@$]*[\d@$][\w@$]*")
 INSERTED = "*_-·•#+~|."
-_INSIDE = re.compile(r"(?<=[a-z])[*_\-·•#+~|.](?=[a-z])")
+_INSIDE = re.compile(r"(?<=[^\W\d_])[*_\-·•#+~|.](?=[^\W\d_])")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBER = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
@@ -62,8 +65,8 @@ def plain(text: str) -> str:
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(LOOKALIKES)
     else:
         text = text.lower()
-    if sum(len(w) == 1 for w in text.split(" ")) > 3:
-        text = _SPREAD.sub(lambda m: m[0].replace(" ", ""), text)
+    if _SPREAD_INNER.search(text):
+        text = _SPREAD.sub(lambda m: _SPREAD_SIGN.sub("", m[0]), text)
     signed = _SIGN.search(text) is not None
     if signed:
         text = _TOKEN.sub(lambda m: m[0].translate(STAND_INS) if any(c.isalpha() for c in m[0]) else m[0], text)

@@ -52,6 +52,12 @@ def test_disguises_are_undone():
     assert abuse.plain("bought 2 in 2024") == "bought 0 in 0"
 
 
+def test_spread_letters_are_joined_beside_punctuation():
+    for spread, joined in (("so g e i l, dass", "so geil, dass"), ('"m o r o n"', '"moron"'), ("(g e i l)", "(geil)"), ("g e i l", "geil"), ("s.ä.u.e", "säue"), ("é_c_r_a", "écra"), ("m-0-r-0-n", "moron"), ("b*é*c", "béc")):
+        assert abuse.plain(spread) == joined
+    assert abuse.plain("a b c") == "a b c"
+
+
 def test_windows_cover_every_word():
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
     covered = {w for window in abuse.windows(" ".join(words)) for w in window.split()}
