@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from folioscope.runtime import spread
 
 #: Labelled documents of each class that the fit uses at most, half of the labelled rows being kept for calibration.
-#: While there are fewer ordinary ones, unlabelled documents stand in: nearly all are ordinary.
 FIT_DOCUMENTS = 12_000
 ORDINARY_BYTES, ABUSIVE_BYTES = 1_000_000, 250_000
 LEVEL = 12
@@ -125,15 +124,17 @@ class AbuseModel:
         """From the windows of documents labelled ordinary and abusive.
 
         Labels belong to documents and some are wrong, so windows are told apart by how much more
-        often their word pairs occur in documents of one class.
+        often their word pairs occur in documents of one class. Shares of documents are compared, both
+        smoothed by the same share, so a larger class at equal shares changes nothing.
         """
         pairs = [Counter(p for doc in docs for p in set().union(*map(_pairs, doc))) for docs in (ordinary, abusive)]
         counts = [Counter(w for doc in docs for w in doc) for docs in (ordinary, abusive)]
         n = [max(1, len(ordinary)), max(1, len(abusive))]
+        least = 0.2 / min(n)
 
         def odds(window: str) -> float:
             own = _pairs(window)
-            return sum(math.log((pairs[1][p] + 0.2) / n[1]) - math.log((pairs[0][p] + 0.2) / n[0]) for p in own) / len(own)
+            return sum(math.log(pairs[1][p] / n[1] + least) - math.log(pairs[0][p] / n[0] + least) for p in own) / len(own)
 
         known = {w: odds(w) for w in (counts[0].keys() | counts[1].keys())}
         return cls(
@@ -206,8 +207,6 @@ def threshold(histogram: list[tuple[float, int, int]]) -> float:
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "abusive") -> AbuseModel:
     """Fit on half of the labelled documents (at most ``FIT_DOCUMENTS`` of each class), calibrate on all others.
 
-    Where the ordinary class has fewer documents it is filled up to that bound with unlabelled ones,
-    chosen by hash; wording that is typical of the abusive class is told apart by its frequency.
     Documents whose labels contradict each other are left out of the fit; for calibration each of
     their labels counts. Null labels, and labels of unknown documents, are ignored. Only windows of
     the bounded sample and a histogram of scores reach the driver.
@@ -223,15 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         chosen = known.where(condition).where("pmod(place, 2) = 0").orderBy("place", ident).limit(FIT_DOCUMENTS)
         return [list(r[0]) for r in chosen.select(text).mapInPandas(split, "windows array<string>").collect()]
 
-    def unlabelled(most: int) -> list[list[str]]:
-        share = max(1, -(-docs.count() // most))
-        chosen = docs.select(ident, text).where(F.pmod(F.xxhash64(ident, F.lit("fill")), F.lit(share)) == 0).join(rows, ident, "left_anti").limit(most)
-        return [list(r[0]) for r in chosen.select(text).mapInPandas(split, "windows array<string>").collect()]
-
-    ordinary, abusive = sample("yes = 0"), sample("yes = all")
-    if abusive and len(ordinary) < FIT_DOCUMENTS:
-        ordinary += unlabelled(FIT_DOCUMENTS - len(ordinary))
-    model = AbuseModel.fit(ordinary, abusive)
+    model = AbuseModel.fit(sample("yes = 0"), sample("yes = all"))
     if not model.usable:
         return model
     held = _scored(known.where("pmod(place, 2) = 1"), model, text, ["yes", "all"]).withColumn("bin", F.round("score", 1))

@@ -47,6 +47,20 @@ def test_without_labels_nothing_is_flagged(spark):
     assert abuse.scores(empty, marks).count() == 0
 
 
+def test_only_labelled_documents_are_fitted(spark):
+    rows, truth = corpus(300)
+    docs, marks = frames(spark, rows, [(i, int(i in truth), "a") for i in range(100)])
+    labelled = abuse.fit(docs.where("doc_id < 100"), marks)
+    assert labelled.usable and abuse.fit(docs, marks) == labelled
+
+
+def test_class_ratio_does_not_change_abusive_wording():
+    abusive = [["you lying scumbag", f"same words {t}"] for t in THINGS]
+    ordinary = [["you kind person", "same words here"] for _ in THINGS]
+    once, often = abuse.AbuseModel.fit(ordinary, abusive), abuse.AbuseModel.fit(ordinary * 50, abusive)
+    assert b"scumbag" in once.abusive and once.abusive == often.abusive
+
+
 def test_disguises_are_undone():
     assert abuse.plain("m o r o n") == abuse.plain("M0R0N") == abuse.plain("mo_ron") == abuse.plain("mоrоn") == abuse.plain("mooooron") == "moron"
     assert abuse.plain("bought 2 in 2024") == "bought 0 in 0"
