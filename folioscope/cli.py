@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -86,8 +87,13 @@ def write_reports(spark: SparkSession, a: argparse.Namespace, now: str) -> None:
     sinks.write_csv(reports.csv_rows(held), str(out / "report_csv"), ["entry_pos"])
     if a.issue_comment_file:
         Path(a.issue_comment_file).write_text(sinks.issue_comment(own), "utf-8")
-    if a.archive_dir and a.site:
-        sinks.archive(spark, own, a.site, now, a.archive_dir)
+    sinks.write_html(held, "Report", out / "report.html")
+    if a.archive_dir:
+        name = sinks.archive(spark, own, a.site, now, a.archive_dir)
+        done = reports.summary(own).first()
+        links = {"crawl_url": a.crawl_url, "run_url": a.run_url, "issue_url": a.issue_url}
+        sinks.add_to_history(spark, {"date": now, "site": a.site or "all", **links, "archive_file": name, **{c: done[c] for c in ("total", "analysed", "accessible")}}, out / "reports.json")
+        sinks.write_reports_page(out, Path(os.path.relpath(a.archive_dir.removeprefix("file://"), out)).as_posix())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -109,6 +115,8 @@ def main(argv: list[str] | None = None) -> int:
     report.add_argument("--site")
     report.add_argument("--issue-comment-file")
     report.add_argument("--archive-dir")
+    for link in ("--crawl-url", "--run-url", "--issue-url"):
+        report.add_argument(link, help="kept in the history of archived reports")
     for p in (crawl, check, report):
         p.add_argument("--manifest", default="reports/manifest.yaml")
     a = parser.parse_args(argv)

@@ -69,22 +69,67 @@ def issue_comment(entries: DataFrame, limit: int = 30) -> str:
     return "\n".join([*head, "", *rows, *([f"{more} more"] if more > 0 else [])]) + "\n"
 
 
-def html_page(title: str, data: str) -> str:
-    """A page with embedded JSON; ``<`` is escaped so that data cannot end the script element."""
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><script type="application/json" id="data">{data.replace("<", chr(92) + "u003c")}</script></body></html>\n'
+#: Fills the table of a report page from the data embedded in it.
+_TABLE = """const d = JSON.parse(document.getElementById('data').textContent), t = document.getElementById('files');
+for (const f of d.files || []) { const r = t.insertRow(), v = f.report || {}; for (const x of [f.filename, f.url, f.site, f.status, v.Accessible, v.Pages, (f.errors || []).join('; '), f.notes]) r.insertCell().textContent = x ?? ''; }"""
+#: Fills the page of all reports from the history index beside it.
+_LIST = """fetch('reports.json').then(r => r.json()).then(all => { const t = document.getElementById('reports'), base = JSON.parse(document.getElementById('data').textContent);
+for (const e of all) { const r = t.insertRow(), a = document.createElement('a'); a.href = base + '/' + encodeURIComponent(e.archive_file); a.textContent = e.date ?? ''; r.insertCell().append(a); for (const x of [e.site, e.crawl_url, e.issue_url, e.total, e.analysed, e.accessible]) r.insertCell().textContent = x ?? ''; } });"""
+HISTORY = "date string, site string, crawl_url string, run_url string, issue_url string, archive_file string, total bigint, analysed bigint, accessible bigint"
+
+
+def _in_script(data: str) -> str:
+    return data.replace("<", "\\u003c")
+
+
+def _page(title: str, table: str, code: str) -> tuple[str, str]:
+    """What comes before and after the JSON embedded in a page."""
+    head = f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table id="{table}"></table><script type="application/json" id="data">'
+    return head, f"</script>\n<script>{code}</script></body></html>\n"
 
 
-def archive(spark: SparkSession, entries: DataFrame, site: str, at: str, folder: str) -> str:
-    """Write the page of one site's scan under its archive name, which is returned."""
-    own = entries.where(F.col("site") == site)
-    name = spark.range(1).select(texts.archive_name(F.to_timestamp(F.lit(at)), F.lit(site))).first()[0]
-    data = json.dumps(reports.summary(own).first().asDict())
+def html_page(title: str, data: str) -> str:
+    """A page with embedded JSON; ``<`` is escaped so that data cannot end the script element."""
+    head, tail = _page(title, "files", _TABLE)
+    return head + _in_script(data) + tail
+
+
+def write_html(entries: DataFrame, title: str, path: Path) -> None:
+    """A page over ``{"summary": …, "files": […]}``; the entries stream through the driver in order, a partition at a time."""
+    head, tail = _page(title, "files", _TABLE)
+    with path.open("w", encoding="utf-8") as out:
+        out.write(f'{head}{{"summary":{_in_script(json.dumps(reports.summary(entries).first().asDict()))},"files":[')
+        between = ""
+        for r in reports.report_json(entries).orderBy("entry_pos").toLocalIterator():
+            out.write(f"{between}\n{_in_script(r['json'])}")
+            between = ","
+        out.write(f"]}}{tail}")
+
+
+def archive(spark: SparkSession, entries: DataFrame, site: str | None, at: str, folder: str) -> str:
+    """Write the page of one site's scan, or of all sites', under its archive name, which is returned."""
+    own = entries.where(F.col("site") == site) if site else entries
+    name = spark.range(1).select(texts.archive_name(F.to_timestamp(F.lit(at)), F.lit(site or "all"))).first()[0]
     target = Path(folder.removeprefix("file://"))
     target.mkdir(parents=True, exist_ok=True)
-    (target / name).write_text(html_page(site, data), "utf-8")
+    write_html(own, site or "all", target / name)
     return name
 
 
+def add_to_history(spark: SparkSession, scan: dict, path: Path) -> None:
+    """Put a scan before those of the history index, a JSON list, unless its archive file is listed there."""
+    held = json.loads(path.read_text("utf-8")) if path.exists() else []
+    fields = [f.split()[0] for f in HISTORY.split(", ")]
+    index, new = (spark.createDataFrame([tuple(e.get(f) for f in fields) for e in rows], HISTORY) for rows in (held, [scan]))
+    path.write_text(json.dumps([r.asDict() for r in reports.appended(index, new).collect()], indent=2, ensure_ascii=False), "utf-8")
+
+
+def write_reports_page(folder: Path, archives: str) -> None:
+    """The page that lists the archived reports of ``reports.json`` beside it; ``archives``: their folder as seen from it."""
+    head, tail = _page("Reports", "reports", _LIST)
+    (folder / "reports.html").write_text(head + _in_script(json.dumps(archives)) + tail, "utf-8")
+
+
 def crawl_state(files: DataFrame) -> DataFrame:
     """``(folder, url_map, referer_map)``: JSON objects of file name to URL and to referer, per folder.
 

@@ -34,6 +34,26 @@ def test_crawl_analyse_report(spark, tmp_path, monkeypatch):
         cli.main(["crawl", "--url", "https://h.example/a.pdf", "--manifest", m])
 
 
+def embedded(page):
+    return json.loads(page.read_text("utf-8").partition('id="data">')[2].partition("</script>")[0])
+
+
+def test_pages_hold_every_row_and_the_history_every_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    m, out, arc = tmp_path / "m.yaml", tmp_path / "out", tmp_path / "arc"
+    m.write_text("".join(f'- {{url: "u{i}</script>", filename: f{i}.pdf, site: s{i % 2}, status: pending, errors: []}}\n' for i in range(5)))
+    args = ["report", "--report-dir", str(out), "--archive-dir", str(arc), "--manifest", str(m)]
+    assert cli.main([*args, "--site", "s1", "--crawl-url", "https://s1/"]) == 0 and cli.main(args) == 0
+    whole = embedded(out / "report.html")
+    assert [f["url"] for f in whole["files"]] == [f"u{i}</script>" for i in range(5)] and whole["summary"]["total"] == 5
+    history = json.loads((out / "reports.json").read_text("utf-8"))
+    assert [(e["site"], e["crawl_url"], e["total"]) for e in history] == [("all", None, 5), ("s1", "https://s1/", 2)]
+    assert [len(embedded(arc / e["archive_file"])["files"]) for e in history] == [5, 2]
+    assert embedded(out / "reports.html") == "../arc" and "reports.json" in (out / "reports.html").read_text("utf-8")
+    cli.sinks.add_to_history(spark, history[1], out / "reports.json")
+    assert json.loads((out / "reports.json").read_text("utf-8")) == history
+
+
 def test_missing_file_is_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     m = tmp_path / "m.yaml"
