@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import pandas as pd
 import zstandard
@@ -96,9 +97,10 @@ def _pairs(window: str) -> set[str]:
 
 
 def _content(found: Iterable[str], counts: Counter[str], size: int) -> bytes:
+    """The most frequent windows that fit into ``size`` bytes; equally frequent ones in order of a hash."""
     seen: set[tuple[str, ...]] = set()
     kept, used = [], 0
-    for window in sorted(found, key=lambda w: (-counts[w], w)):
+    for window in sorted(found, key=lambda w: (-counts[w], md5(w.encode("utf-8", "replace")).digest(), w)):
         w = window.split(" ")
         runs = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
         if counts[window] > 1 or 3 * len(runs - seen) >= len(runs):

@@ -61,6 +61,12 @@ def test_class_ratio_does_not_change_abusive_wording():
     assert b"scumbag" in once.abusive and once.abusive == often.abusive
 
 
+def test_a_full_dictionary_is_not_cut_by_alphabet():
+    found = [f"{c}{i} {c} word{c}{i}" for c in "abcdefghijklmnopqrstuvwxyz" for i in range(50)]
+    kept = abuse._content(found, abuse.Counter(found), 5_000)
+    assert len(kept) <= 5_000 and {w[-1] for w in kept.decode().translate({ord(d): None for d in "0123456789"}).split()} == set("abcdefghijklmnopqrstuvwxyz")
+
+
 def test_disguises_are_undone():
     assert abuse.plain("m o r o n") == abuse.plain("M0R0N") == abuse.plain("mo_ron") == abuse.plain("mоrоn") == abuse.plain("mooooron") == "moron"
     assert abuse.plain("bought 2 in 2024") == "bought 0 in 0"
