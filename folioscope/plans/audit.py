@@ -344,11 +344,21 @@ def history_filter(spark, d):
     return reports.matching(_latest(spark, d), "  CLI ").select("scan_key", "event_id")
 
 
+def _index(spark, d):
+    return spark.sql(HISTORY.replace("FROM events", "FROM {events}"), events=table(spark, d, "events")).select("event_id", "archive_file")
+
+
 def index_append(spark, d):
-    h = spark.sql(HISTORY.replace("FROM events", "FROM {events}"), events=table(spark, d, "events")).select("event_id", "archive_file")
+    """Two overlapping parts of the events; ``index_append_all`` takes every event as new."""
+    h = _index(spark, d)
     return reports.appended(h.where("event_id % 3 <> 0"), h.where("event_id % 2 = 0"))
 
 
+def index_append_all(spark, d):
+    h = _index(spark, d)
+    return reports.appended(h.where("event_id % 3 <> 0"), h)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -356,7 +366,7 @@ QUERIES = {
         content_md5, duplicate_content, word_counts, escaped_titles, language_tags, crawl_ages, pdf_dates, exempt_orders, permission_bits, archive_names,
         pending_for_site, status_counts, with_errors, manual_review, upsert_manifest, upsert_counts, mark_results, analysis_schedule, verdict_tests, verdict_overall, run_outcomes,
         summary_stats, files_per_site, summary_rows, csv_report, markdown_rows, first_issues, error_lines, sorted_table, optional_columns, failed_rules, producers_union, zero_result_notes,
-        latest_scans, history_summary, history_filter, index_append,
+        latest_scans, history_summary, history_filter, index_append, index_append_all,
     )
 }
 
@@ -443,4 +453,5 @@ SQL = {
     "history_summary": f"WITH {_H} SELECT count(*) AS scans, count(DISTINCT nullif(site, '')) AS sites FROM l",
     "history_filter": f"WITH {_H} SELECT scan_key, event_id FROM l WHERE contains(lower(site), 'cli') OR contains(lower(crawl_url), 'cli')",
     "index_append": "SELECT event_id, 'f' || event_id AS archive_file FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0",
+    "index_append_all": "SELECT event_id, 'f' || event_id AS archive_file FROM events",
 }
