@@ -322,7 +322,8 @@ def _verdict(path: str, value: object) -> object:
 def consistent_reports(records: DataFrame, schema: T.StructType, feed: Feed = Feed(), keep: tuple[str, ...] = ("line_no", "url", "md5")) -> DataFrame:
     """Every readable record once, as ``report`` of the target schema.
 
-    Fields without a target are kept as JSON text in ``other_fields``; missing fields come out null;
+    Fields without a target are kept as JSON text in ``other_fields``, and so is a value whose target
+    already has a different one from another field of the record; missing fields come out null;
     values that cannot be cast are null in ``report`` and counted in ``n_uncast``. A line delivered
     repeatedly with the same text is one record. The rules are built from the field names and
     rename steps of all files: their number is bounded by the schemas, not by the records, and it is
@@ -358,6 +359,8 @@ def consistent_reports(records: DataFrame, schema: T.StructType, feed: Feed = Fe
                     node = node.setdefault(name, {})
                 if node.get(last) is None:  # the target's own spelling comes first
                     node[last] = made
+                elif made is not None and made != node[last]:
+                    rest[_clean(path)] = _clean(json.dumps(value, sort_keys=True))
             reports.append(_clean(json.dumps(out))), others.append(rest), lost.append(bad)
         return pd.DataFrame({"report": reports, "other_fields": others, "n_uncast": lost})
 

@@ -72,6 +72,12 @@ def test_consistent_table(spark):
     assert rows[1, 0]["report"]["Accessible"] is None
 
 
+def test_a_displaced_value_is_kept(spark):
+    both = [{"Pages": 3, "pages": 4}, {"Pages": 3, "pages": "3"}, {"Pages": None, "pages": 5}]
+    rows = {r["line_no"]: r for r in drift.consistent_reports(records(spark, {1: ("s", 1, both)}), REPORT).collect()}
+    assert [(rows[i]["report"]["Pages"], rows[i]["other_fields"]) for i in range(3)] == [(3, {"pages": "4"}), (3, {}), (5, {})]
+
+
 def test_predecessor_crosses_blocks(spark):
     from folioscope.operators.neighbours import with_previous
 
