@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
-#: Streams that inflate to more than this are read up to it; a hostile file cannot fill the worker.
+#: A stream that inflates to more than this is an error of its file; a hostile file cannot fill the worker.
 MAX_INFLATED = 64 * 1024 * 1024
 
 FACTS = T.StructType(
@@ -31,6 +31,16 @@ FACTS = T.StructType(
 _EMPTY = {f.name: None for f in FACTS.fields}
 
 
+class TooLarge(ValueError):
+    """A stream inflates to more than ``MAX_INFLATED``."""
+
+
+def _head(body: bytes) -> bytes:
+    """The dictionary before a stream."""
+    raw = _STREAM.search(body)
+    return body if raw is None else body[: raw.start()]
+
+
 def _inflated(body: bytes) -> bytes:
     raw = _STREAM.search(body)
     if raw is None:
@@ -38,9 +48,12 @@ def _inflated(body: bytes) -> bytes:
     if b"FlateDecode" not in body[: raw.start()]:
         return raw[1]
     try:
-        return zlib.decompressobj().decompress(raw[1], MAX_INFLATED)
+        content = zlib.decompressobj().decompress(raw[1], MAX_INFLATED + 1)
     except zlib.error:
         return b""
+    if len(content) > MAX_INFLATED:
+        raise TooLarge
+    return content
 
 
 def _text(value: bytes | None) -> str | None:
@@ -61,7 +74,7 @@ class _File:
         self.data = data
         self.objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
         for body in list(self.objects.values()):
-            if b"/ObjStm" in body[:300]:
+            if b"/ObjStm" in _head(body):
                 self._unpack(body)
 
     def _unpack(self, body: bytes) -> None:
@@ -96,6 +109,25 @@ class _File:
         m = re.match(rb"\d+\s+\d+\s+R\b|\((?:\\.|[^\\()]|\([^()]*\))*\)|<[^>]*>|/[^\s/<>\[\]()]+|[^\s/<>\[\]()]+", rest, re.S)
         return self.follow(m[0]) if m else None
 
+    def images(self, body: bytes | None, above: tuple[bytes, ...] = ()) -> int:
+        """Images that the resources of a page or form name, those of nested forms included; a form inside itself counts once."""
+        head = _head(body or b"")
+        resources, page = self.get(head, b"Resources"), head
+        for _ in range(50):  # a page inherits them
+            if resources is not None or above or page is None:
+                break
+            page = self.get(page, b"Parent")
+            resources = self.get(page, b"Resources")
+        count = 0
+        for reference in re.findall(rb"\d+\s+\d+\s+R\b", self.get(resources, b"XObject") or b""):
+            item = self.follow(reference) or b""
+            kind = self.get(_head(item), b"Subtype")
+            if kind == b"/Image":
+                count += 1
+            elif kind == b"/Form" and item not in above and self.get(_head(item), b"Ref") is None:
+                count += self.images(item, (*above, item))
+        return count
+
 
 def read_facts(data: bytes) -> dict:
     """Facts of one file. A damaged or foreign file has ``open_error`` and ``error_kind``, and what was found before."""
@@ -106,7 +138,7 @@ def read_facts(data: bytes) -> dict:
     facts["pdf_version"] = head[1].decode()
     try:
         f = _File(data)
-        trailer = b" ".join(re.findall(rb"trailer(.*?)(?:startxref|\Z)", data, re.S)) + b" ".join(b for b in f.objects.values() if b"/XRef" in b[:400])
+        trailer = b" ".join(re.findall(rb"trailer(.*?)(?:startxref|\Z)", data, re.S)) + b" ".join(h for h in map(_head, f.objects.values()) if re.search(rb"/Type\s*/XRef\b", h))
         root = f.get(trailer, b"Root") or next((b for b in f.objects.values() if re.search(rb"/Type\s*/Catalog", b)), None)
         if root is None:
             return facts | {"open_error": "no catalog", "error_kind": "pdf"}
@@ -116,7 +148,7 @@ def read_facts(data: bytes) -> dict:
             facts[name] = _text(value) if value and value[:1] in b"(<" else None
         bodies = list(f.objects.values())
         facts["n_pages"] = sum(bool(re.search(rb"/Type\s*/Page(?![a-zA-Z])", b)) for b in bodies)
-        facts["n_images"] = sum(bool(re.search(rb"/Subtype\s*/Image\b", b)) for b in bodies)
+        facts["n_images"] = sum(f.images(b) for b in bodies if re.search(rb"/Type\s*/Page(?![a-zA-Z])", b))
         metadata = f.get(root, b"Metadata")
         facts["has_xmp"] = metadata is not None
         xmp = _inflated(metadata or b"")

@@ -106,6 +106,28 @@ def test_pdf_facts(spark, tmp_path):
     assert got["good.pdf"]["n_pages"] == 1 and got["bad.pdf"]["open_error"] == "not a PDF" and got["empty.pdf"]["open_error"] == "no catalog"
 
 
+def test_pdf_objects_are_read_whole(monkeypatch):
+    index = b"/Index [" + b"0 1 " * 300 + b"]"
+    f = read_facts(pdf(
+        b"<< /Type /Catalog >>", b"<< /Producer (P) >>", b"<< /P -44 /R 3 >>", b"<< " + index + b" /Type /XRef /Root 1 0 R /Info 2 0 R /Encrypt 3 0 R >> stream\nx\nendstream",
+        b"<< " + b" " * 400 + b"/Type /ObjStm /N 1 /First 5 >> stream\n9 0  << /BaseFont /Odd >>\nendstream",
+    ).partition(b"trailer")[0])
+    assert (f["encrypted"], f["p"], f["producer"], f["font_names"]) == (True, -44, "P", ["Odd"])
+    monkeypatch.setattr("folioscope.sources.pdf_facts.MAX_INFLATED", 1000)
+    for n, error in ((1000, None), (1001, "TooLarge")):
+        f = read_facts(pdf(b"<< /Type /Catalog >>", b"<< /Filter /FlateDecode >> stream\n" + zlib.compress(b" " * n) + b"\nendstream"))
+        assert f["open_error"] == error
+
+
+def test_images_count_by_page_and_form():
+    image, page = b"<< /Subtype /Image >> stream\nx\nendstream", b"<< /Type /Page /Parent 2 0 R >>"
+    form = b"<< /Subtype /Form /Resources << /XObject << /I 4 0 R /Self 5 0 R >> >> >> stream\nx\nendstream"
+    pages = b"<< /Type /Pages /Resources << /XObject << /I 4 0 R /F 5 0 R >> >> >>"
+    unused = image
+    own = b"<< /Type /Page /Parent 2 0 R /Resources << /XObject << /I 4 0 R >> >> >>"
+    assert read_facts(pdf(b"<< /Type /Catalog /Pages 2 0 R >>", pages, page, image, form, page, own, unused))["n_images"] == 5
+
+
 def test_streaming_upkeep(spark, tmp_path):
     from folioscope.streaming.arrivals import links_per_window, maintain
 
