@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,10 +54,60 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each core from which an input has tasks enough by itself.
+SPREAD_BYTES = 2 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores, for work that costs more than moving its rows.
+    """``df`` over as many tasks as there are cores, for work that costs more than moving its rows.
 
-    A small input in one file would else be one task; an input of many files is left as it is.
+    A small input in one file would else be one task. The planner's estimate of the bytes decides, so nothing
+    is run to find out; a larger input is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system that Spark can reach; None if there is none."""
+    fs, at = _located(spark, path)
+    if not fs.exists(at):
+        return None
+    opened = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+    finally:
+        opened.close()
+
+
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """A text file on any file system that Spark can reach, written beside and renamed, so readers see the old or the new one."""
+    fs, at = _located(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
+    held: list[str] = []
+    out = fs.create(beside, True)
+    try:
+        size = 0
+        for line in lines:
+            held.append(line)
+            size += len(line)
+            if size > 1 << 20:  # chunks, so that a long file does not call across for every line
+                out.write(bytearray("".join(held).encode("utf-8", "surrogatepass")))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode("utf-8", "surrogatepass")))
+    finally:
+        out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"could not write {path}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _located(spark, path)
+    fs.delete(at, True)
