@@ -80,10 +80,48 @@ def test_winnowing_keeps_the_least_of_every_window():
     assert all({int(p) for p in prints[owner == i]} == slow(t) for i, t in enumerate(texts))
 
 
+def keyed(spark, numbers):
+    frame = history.fingerprinted([f"key-{i}" for i in numbers])
+    return spark.createDataFrame(frame.assign(entry_id=list(numbers)).astype(object), f"{history.KEYS}, entry_id bigint")
+
+
 def test_filter_has_no_false_negatives(spark):
-    rows = spark.range(3000).selectExpr("concat('key-', id) AS key", "id AS entry_id")
-    store = history.HistoryStore.create(rows)
-    asked = spark.range(2900, 6000).selectExpr("concat('key-', id) AS key")
-    possible = {r[0] for r in store.possible(asked).collect()}
+    store = history.HistoryStore.create(spark, None, keyed(spark, range(3000)))
+    asked = keyed(spark, range(2900, 6000))
+    possible = {r["key"] for r in store.possible(asked).collect()}
     assert {f"key-{i}" for i in range(2900, 3000)} <= possible and len(possible) < 600
-    assert {tuple(r) for r in store.known(asked).collect()} == {(f"key-{i}", i) for i in range(2900, 3000)}
+    assert {(r["key"], r["known"]) for r in store.known(asked).collect()} == {(f"key-{i}", i) for i in range(2900, 3000)}
+
+
+def test_a_store_grows_from_nothing_and_is_opened_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "PARTITION_KEYS", 16)
+    rng = random.Random(11)
+    rows = [(b, 1000 * b + i, f"https://h.example/{rng.randrange(400)}", f"m{rng.randrange(3000)}", 0, "") for b in range(1, 11) for i in range(60)]
+    path = f"file://{tmp_path}/store"
+    history.HistoryStore.create(spark, path)
+    got, folders = set(), []
+    for b in range(1, 11):
+        store = history.HistoryStore.open(spark, path)
+        batch = spark.createDataFrame([r for r in rows if r[0] == b], BATCHES)
+        got |= {tuple(r) for r in store.admit(history.batch_keys(batch, "batch_no").select("entry_id", "keys")).collect()}
+        folders.append(len(list((tmp_path / "store").glob("step-*/kind=filter"))))
+        assert store._filters().count() == store._filters().select("part").distinct().count()
+    assert got == brute([], rows)
+    assert set(folders) == {1} and store.state["partitions"] > history.LEAST_PARTITIONS
+    assert store.stored().count() == store.stored().select("key").distinct().count() == store.state["keys"]
+    import pytest
+
+    with pytest.raises(FileExistsError):
+        history.HistoryStore.create(spark, path)
+
+
+def test_long_chains_end(spark, monkeypatch):
+    monkeypatch.setattr(history, "BLOCK", 12)
+    chain = [(1, 100 + i, f"https://h.example/{(i + 1) // 2}", f"m{i // 2}", 0, "") for i in range(60)] + [(1, 300 + i, None, "hot", 0, "") for i in range(40)]
+    assert found(spark, [], chain) == brute([], chain)
+
+
+def test_a_known_entry_names_a_smaller_one_of_its_batch(spark):
+    manifest = [(500, "https://h.example/a", "aa", 0, "")]
+    batches = [(1, 10, "https://h.example/b", "bb", 0, ""), (1, 20, "https://h.example/b", "aa", 0, ""), (1, 30, "https://h.example/c", "bb", 0, "")]
+    assert found(spark, manifest, batches) == {(10, 20), (10, 30)}
