@@ -24,9 +24,6 @@ from pyspark.sql import types as T
 
 from folioscope.runtime import spread, written
 
-#: The characters that the pattern takes for white space.
-WHITE = frozenset(" \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
-
 #: Documents of one size are ranked in so many independent parts.
 SHARDS = 512
 
@@ -43,24 +40,9 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def token_counts(texts: pd.Series, encode: Callable[[str], list[int]], span: int = 20_000) -> list[int]:
-    """Tokens of each text; null is 0. A long run without white space costs no more than linear time.
-
-    Texts are cut only where a token cannot cross: before white space that follows a visible
-    character. Runs longer than ``span`` without such a place are cut at ``span``.
-    """
-    def count(text: str) -> int:
-        total, start = 0, 0
-        while len(text) - start > span:
-            cut = max(text.rfind(" ", start + 1, start + span), text.rfind("\n", start + 1, start + span))
-            while cut > start and text[cut - 1] in WHITE:
-                cut -= 1
-            cut = cut if cut > start else start + span
-            total += len(encode(text[start:cut]))
-            start = cut
-        return total + len(encode(text[start:]))
-
-    return [0 if t is None else count(t) for t in texts]
+def token_counts(texts: pd.Series, encode: Callable[[str], list[int]]) -> list[int]:
+    """Tokens of each whole text; null is 0. The encoder takes about linear time, on long runs without white space as well."""
+    return [0 if t is None else len(encode(t)) for t in texts]
 
 
 def sized(df: DataFrame, ident: str, text: str, vocabulary: str) -> DataFrame:
@@ -181,3 +163,16 @@ def pack(df: DataFrame, ident: str, text: str, vocabulary: str, capacity: int =
     placed = _ranked(items, [ident, "copy", "piece"]).select(ident, "piece", "first_token", "size", "rank").mapInPandas(place, layout)
     empty = once.where("tokens = 0").select(ident, F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first_token"), "tokens", *[F.lit(None).cast("bigint").alias(c) for c in ("container", "position", "offset")])
     return placed.unionByName(empty)
+
+
+def faults(packed: DataFrame, ident: str, capacity: int) -> DataFrame:
+    """One row of counts over the rows of :func:`pack`, all zero but the first: ids, containers that are
+    too full, items that do not begin where the one before ends, and ids that are split though they fit, or into pieces that are not
+    full, or whose pieces leave out or repeat tokens. Ids must be unique in the packed table."""
+    number = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    full = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("used"), F.max(F.col("offset") + F.col("tokens")).alias("end"), F.max("position").alias("last"), F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("places"), F.count_distinct("offset").alias("starts"))
+    rooms = full.agg(number(F.col("used") > capacity).alias("n_too_full"), number((F.col("used") != F.col("end")) | (F.col("last") + 1 != F.col("n")) | (F.col("places") != F.col("n")) | (F.col("starts") != F.col("n"))).alias("n_gaps"))
+    own = packed.groupBy(ident).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.count_distinct("piece").alias("pieces"), F.sum(F.when(F.col("tokens") == capacity, 1).otherwise(0)).alias("full"), F.min(F.col("first_token") == F.col("piece") * capacity).alias("in_place"))
+    wrong = (F.col("all") != F.col("end")) | (F.col("pieces") != F.col("n")) | ~F.col("in_place") | (F.col("full") < F.col("n") - 1) | ((F.col("n") > 1) & (F.col("all") <= capacity))
+    ids = own.agg(F.count(F.lit(1)).alias("n_ids"), number(wrong).alias("n_badly_split"))
+    return ids.join(rooms, F.lit(True)).select("n_ids", "n_too_full", "n_gaps", "n_badly_split")  # one row each

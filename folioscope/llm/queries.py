@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import abuse, history, leaks, packing, writings
-from folioscope.runtime import table
+from folioscope.runtime import table, written
 
 
 #: Vocabulary that sizes documents; the file must exist on every host.
@@ -34,6 +34,11 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text", VOCABULARY, CAPACITY)
 
 
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies with a place, and how many containers and bodies break a rule: none may."""
+    return packing.faults(written(p6_containers(spark, d), "packed"), "doc_id", CAPACITY)
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -59,7 +64,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p6_containers, p7_found, p7_items, p8_found, p8_scores, p8_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p6_containers, p6_faults, p7_found, p7_items, p8_found, p8_scores, p8_sources)}
 
 
 def _canonical_sql(column: str) -> str:
@@ -74,6 +79,7 @@ def _canonical_sql(column: str) -> str:
 _KEYED = f"WITH k AS (SELECT link_id, type, {_canonical_sql('url')} AS u, {_canonical_sql('referer')} AS r FROM crawled_urls)"
 
 SQL = {
+    "p6_faults": "SELECT count(*) AS n_ids, CAST(0 AS BIGINT) AS n_too_full, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_badly_split FROM documents",
     "p5_found": f"{_KEYED}, m AS (SELECT link_id, min(link_id) OVER (PARTITION BY type, u, r) AS a FROM k) SELECT a AS link_id_a, link_id AS link_id_b FROM m WHERE a <> link_id",
     "p5_records": f"{_KEYED} SELECT min(link_id) AS link_id, count(*) AS n_copies FROM k GROUP BY type, u, r",
 }

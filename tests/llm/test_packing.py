@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pandas as pd
@@ -59,11 +60,22 @@ def test_whole_table(spark, monkeypatch):
     assert (split.first_token == split.piece * 64).all()
 
 
-def test_long_texts_count_like_short_ones():
+def test_long_texts_are_counted_whole():
     encode = packing.load_encoder(VOCABULARY)
-    texts = ["word and  more\t\n text, " * 300, "z" * 500 + "   b" * 90]
-    assert packing.token_counts(pd.Series(texts), encode, span=100)[0] == len(encode(texts[0]))
-    assert packing.token_counts(pd.Series(["q" * 300_000, None, ""]), encode)[1:] == [0, 0]
+    texts = ["word and  more\t\n text, " * 3000, "z" * 500 + "   b" * 90, "ab3" * 20_000, "QUJDREVGR0g" * 9_000, "q" * 300_000, " " * 300_000, "é" * 100_000]
+    began = time.perf_counter()
+    assert packing.token_counts(pd.Series([*texts, None, ""]), encode) == [len(encode(t)) for t in texts] + [0, 0]
+    assert time.perf_counter() - began < 20
+
+
+def test_faults_are_seen(spark):
+    good = [(1, 0, 0, 10, 0, 0, 0), (1, 1, 10, 4, 1, 0, 0), (2, 0, 0, 6, 1, 1, 4), (3, 0, 0, 0, None, None, None)]
+    layout = "doc_id bigint, piece int, first_token bigint, tokens bigint, container bigint, position bigint, offset bigint"
+    count = lambda rows: tuple(packing.faults(spark.createDataFrame(rows, layout), "doc_id", 10).first())
+    assert count(good) == (3, 0, 0, 0)
+    assert count([*good, (4, 0, 0, 1, 1, 2, 10)]) == (4, 1, 0, 0)
+    assert count([*good[:2], (2, 0, 0, 6, 1, 1, 3), good[3]]) == (3, 0, 1, 0)
+    assert count([(1, 0, 0, 9, 0, 0, 0), *good[1:]]) == (3, 0, 0, 1)
 
 
 def test_empty_table(spark):
