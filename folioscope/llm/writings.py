@@ -18,8 +18,9 @@ from folioscope.runtime import written
 ESCAPED_SPACE = "(?i)%(?:20|09|0[a-d]|C2%A0|C2%85|E1%9A%80|E2%80%8[0-9a-f]|E2%80%A[89f]|E2%81%9F|E3%80%80)"
 NO_LETTER_OR_DIGIT = r"[^\p{L}\p{M}\p{N}]+"
 
-#: Groups with at least so many copies are matched by broadcast; there can be at most rows / HOT of them.
-HOT = 100_000
+#: Groups with at least so many copies are matched by broadcast, the largest of them first, up to so many groups. Any other
+#: group has fewer copies, or no more than one row in ``HOT_GROUPS`` of the table.
+HOT, HOT_GROUPS = 100_000, 100_000
 
 
 def bare(text: Column) -> Column:
@@ -67,14 +68,15 @@ def copies(df: DataFrame, ident: str, exact: Sequence[str], links: Sequence[str]
     """``(first, copy)``: every row that writes a record again, with the smallest id of the record.
 
     Rows get their record in one shuffle. Records with ``HOT`` copies or more come by broadcast
-    instead (at most rows / HOT of them), and their rows are spread over all tasks. Rows with a
-    null id cannot be named and are left out here.
+    instead, ``HOT_GROUPS`` at most (4 MB), and their rows are spread over all tasks; a group beyond that number is no
+    larger than a hundred-thousandth of the rows and takes the shuffle. Rows with a null id cannot be named and
+    are left out here.
     """
     keyed = written(_keyed(df, ident, exact, links), "keyed-rows")
     groups, keyed = _resolved(keyed)
     repeated = groups.where("n > 1").select("h", "first", "n")
-    hot = repeated.where(F.col("n") >= HOT).select("h", F.col("first").alias("hot_first"))
-    rest = repeated.where(F.col("n") < HOT).select(F.col("h").alias("at"), "first")
+    hot = written(repeated.where(F.col("n") >= HOT).orderBy(F.col("n").desc(), "h").limit(HOT_GROUPS).select("h", F.col("first").alias("hot_first")), "hot-records")
+    rest = repeated.join(F.broadcast(hot.select("h")), "h", "left_anti").select(F.col("h").alias("at"), "first")
     spread = keyed.join(F.broadcast(hot), "h", "left").withColumn("at", F.when(F.col("hot_first").isNull(), F.col("h")).otherwise(F.unhex(F.md5(F.col("id").cast("string")))))
     found = spread.join(rest, "at", "left").select(F.coalesce("hot_first", "first").alias("first"), F.col("id").alias("copy"))
     return found.where(F.col("first") != F.col("copy"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from folioscope.llm import writings
 
 LAYOUT = "link_id bigint, type string, url string, referer string, h string, first string"
@@ -40,10 +42,12 @@ def test_writings(spark):
     check(spark, ROWS)
 
 
-def test_hot_groups(spark, monkeypatch):
+@pytest.mark.parametrize("groups", [100, 1])
+def test_hot_groups(spark, monkeypatch, groups):
     monkeypatch.setattr(writings, "HOT", 20)
+    monkeypatch.setattr(writings, "HOT_GROUPS", groups)
     rng = random.Random(5)
-    check(spark, [(i, "pdf", rng.choice(["https://hot.example/", "HTTPS://HOT.example", f"https://h.example/{rng.randrange(30)}"]), None, "", "") for i in range(300)])
+    check(spark, [(i, "pdf", rng.choice(["https://hot.example/", "HTTPS://HOT.example", "https://warm.example/", f"https://h.example/{rng.randrange(30)}"]), None, "", "") for i in range(300)])
 
 
 def test_collisions_are_parted(spark):
