@@ -86,4 +86,29 @@ def test_windows_cover_every_word():
 
 def test_threshold_is_the_middle_of_the_best_scores():
     assert abuse.threshold([(5.0, 1, 50), (4.0, 1, 50), (0.0, 0, 500), (-1.0, 0, 500)]) == 2.5 or abuse.threshold([(5.0, 1, 50), (4.0, 1, 50), (0.0, 0, 500)]) == 2.0
-    assert abuse.threshold([(5.0, 1, 2), (0.0, 0, 9)]) == abuse.DEFAULT_THRESHOLD
+    assert abuse.threshold([(5.0, 1, 2), (0.0, 0, 9)]) == 2.5 and abuse.threshold([(0.0, 0, 9)]) == float("inf")
+
+
+def test_pieces_give_the_words_of_the_whole_sentence():
+    rng = random.Random(3)
+    signs = ["a", "B", "é", "0", "1", "@", "$", " ", " ", "  ", ".", "-", "_", "*", "\u200b", "\xad", "\u3000", "о", "ﬁ", "aaa", "m o r o n", "!", "·", "•", "…", "\ufe52", "\uff0e", "İ"]
+    for _ in range(20_000):
+        s = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
+        assert abuse._words(s) == abuse._WORD.findall(abuse.plain(s)), repr(s)
+
+
+def test_the_trainer_of_the_library_can_be_used(spark):
+    rows, truth = corpus(1000)
+    docs, marks = frames(spark, rows, [(i, int(i in truth), "a") for i in range(700)])
+    model = abuse.fit(docs, marks, trained=True)
+    assert model.trained and (not model.usable or model.scorer()("crawl back into your hole you lying little clerk") > model.scorer()("the kettle is sturdy"))
+
+
+def test_a_bounded_sample_is_fitted(spark, monkeypatch):
+    rows, truth = corpus(600)
+    docs, marks = frames(spark, rows, [(i, int(i in truth), "a") for i in range(600)])
+    monkeypatch.setattr(abuse, "FIT_DOCUMENTS", 60)
+    known, counts = abuse.labelled(docs, marks, "doc_id", "text", "abusive")
+    assert counts["n00"] + counts["n10"] + counts["n01"] + counts["n11"] == 600
+    model, histogram = abuse.calibrated(known, counts)
+    assert model.usable and sum(n for *_, n in histogram) == 600
