@@ -61,11 +61,12 @@ SPREAD_BYTES = 2 * 1024 * 1024
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many tasks as there are cores, for work that costs more than moving its rows.
 
-    A small input in one file would else be one task. The planner's estimate of the bytes decides, so nothing
+    A small input in one file would else be one task. The planner's estimate of the bytes of the tables read decides, so nothing
     is run to find out; a larger input is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
