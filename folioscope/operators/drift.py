@@ -1,45 +1,38 @@
 """Schemas that drift between files: fingerprints, changes, and one consistent table.
 
-Each file of a source is reduced to a fingerprint (its field paths with the types seen). Comparing a
-file with its predecessor gives the migration step: fields added, removed, renamed or retyped. The
-steps of all sources are then chained into rename, default and cast rules that route every record to
-one target schema.
+Each file of a source is reduced to a fingerprint (its field paths with the types seen), which a
+registry keeps, so that a file is read for it once. Comparing a file with its predecessor gives the
+migration step: fields added, removed, renamed or retyped. The renames of a source chain the names a
+field had over time into one line; a line leads to the target field that one of its names spells.
+So every file has rules of its own, rename, default and cast, which route its records to the target schema.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.operators.neighbours import with_previous
-from folioscope.runtime import written
+from folioscope.runtime import read_text, scratch_path, spread, write_lines, written
 
-def _texts(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+#: Files of a source whose names are chained together before the blocks are.
+BLOCK = 1024
 
-
-FIELDS = T.ArrayType(_texts("path", "kind"))
-LEAVES = T.ArrayType(_texts("path", "kind", "value"))
-#: Distinct (old, new) rename pairs over all sources that the driver may hold; field names, not records.
-MAX_RENAME_PAIRS = 100_000
+#: Type names of leaves; booleans are not integers, and 3.0 is a decimal number.
+_KINDS = {bool: "boolean", int: "integer", float: "decimal", list: "list", str: "string"}
 
 
 def kind_of(value: object) -> str:
-    """Type name of a leaf; booleans are not integers, and 3.0 is a decimal number."""
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int):
-        return "integer"
-    if isinstance(value, float):
-        return "decimal"
-    return "list" if isinstance(value, list) else "string"
+    return _KINDS[type(value)]
 
 
 def parse_object(text: str | None) -> dict | None:
@@ -69,27 +62,6 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _flat(text: str | None, wanted: frozenset[str] | None = None) -> list[dict] | None:
-    record = parse_object(text)
-    if record is None:
-        return None
-    return [{"path": _clean(p), "kind": kind_of(v), "value": _clean(v if isinstance(v, str) else json.dumps(v, sort_keys=True))} for p, v in leaves(record) if wanted is None or p in wanted]
-
-
-@F.pandas_udf(FIELDS)
-def _fields(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> list[dict] | None:
-        record = parse_object(text)
-        return None if record is None else [{"path": _clean(p), "kind": kind_of(v)} for p, v in leaves(record)]
-
-    return texts.map(one)
-
-
-@F.pandas_udf(LEAVES)
-def _values(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-    return pd.Series([_flat(t, frozenset(w)) for t, w in zip(texts, wanted, strict=True)])
-
-
 @dataclass(frozen=True)
 class Feed:
     """Names of the columns of a table of raw records."""
@@ -108,13 +80,22 @@ def file_fields(records: DataFrame, feed: Feed) -> DataFrame:
     repeated lines and repeated deliveries do not matter. A file without a readable record has an
     empty fingerprint. Rows without source, position or file cannot be ordered and are left out.
     """
-    known = records.where(F.col(feed.source).isNotNull() & F.col(feed.position).isNotNull() & F.col(feed.file).isNotNull())
     keys = [feed.source, feed.position, feed.file]
-    per_field = (
-        known.select(*keys, F.explode_outer(_fields(F.col(feed.text))).alias("leaf"))
-        .groupBy(*keys, F.col("leaf.path").alias("path"))
-        .agg(F.array_sort(F.collect_set("leaf.kind")).alias("kinds"))
-    )
+    known = records.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys, feed.text)
+
+    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:  # each field once for a file and batch
+            found = {(*k, None, None): None for k in zip(*(f[c] for c in keys), strict=True)}
+            for *k, text in zip(*(f[c] for c in [*keys, feed.text]), strict=True):
+                record = parse_object(text)
+                if record is not None:
+                    for path, value in leaves(record):
+                        found[*k, path, _KINDS[type(value)]] = None
+            out = pd.DataFrame(list(found), columns=[*keys, "path", "kind"])
+            yield out.assign(path=out["path"].map(_clean, na_action="ignore"))
+
+    layout = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
+    per_field = spread(known).mapInPandas(seen, f"{layout}, path string, kind string").groupBy(*keys, "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     entry = F.when(F.col("path").isNotNull(), F.struct("path", "kinds"))
     return (
         per_field.groupBy(*keys)
@@ -145,14 +126,54 @@ def file_steps(fields: DataFrame, feed: Feed) -> DataFrame:
     )
 
 
-def _registered(records: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
-    """The schema registry, written once: fields of each file, and its step from the file before."""
-    fields = written(file_fields(records, feed), "file-fields")
+class SchemaRegistry:
+    """Fingerprints of all files seen under ``path``, added to by each delivery.
+
+    ``registry.json`` names the folders that count. A file that is registered is not read again; files may
+    arrive in any order, since steps follow the positions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, feed: Feed = Feed()) -> None:
+        self.spark, self.path, self.feed = spark, path or scratch_path(spark, "registry"), feed
+        self.folders: list[str] = json.loads(read_text(spark, f"{self.path}/registry.json") or "[]")
+        self.layout: T.StructType | None = None
+
+    def fields(self) -> DataFrame:
+        """The rows of :func:`file_fields` of all registered files; :meth:`add` must have been called in this session."""
+        return self.spark.read.schema(self.layout).parquet(*[f"{self.path}/{f}" for f in self.folders])
+
+    def add(self, records: DataFrame) -> DataFrame:
+        """Register the files of ``records`` that are new, and return all fields."""
+        new = records
+        if self.folders:
+            new = records.join(self.spark.read.parquet(*[f"{self.path}/{f}" for f in self.folders]).select(self.feed.file), self.feed.file, "left_anti")
+        found = file_fields(new, self.feed)
+        self.layout = found.schema
+        folder = f"files-{uuid.uuid4().hex[:12]}"
+        found.write.parquet(f"{self.path}/{folder}")
+        self.folders = [*self.folders, folder]
+        write_lines(self.spark, f"{self.path}/registry.json", [json.dumps(self.folders)])
+        return self.fields()
+
+
+def _registered(records: DataFrame, feed: Feed, registry: SchemaRegistry | None) -> tuple[DataFrame, DataFrame]:
+    """Fields of each file, and its step from the file before."""
+    fields = (registry or SchemaRegistry(records.sparkSession, None, feed)).add(records)
     return fields, written(file_steps(fields, feed), "file-steps")
 
 
+def _last(name: Column) -> Column:
+    return F.element_at(F.split(name, r"\."), -1)
+
+
 def _plain(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.element_at(F.split(name, r"\."), -1), "[^A-Za-z0-9]", ""))
+    return F.lower(F.regexp_replace(_last(name), "[^A-Za-z0-9]", ""))
+
+
+def _sorted_words(name: Column) -> Column:
+    """Words of the last part of a path, by underscores and capitals, in alphabetical order."""
+    parted = F.regexp_replace(F.regexp_replace(_last(name), "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.array_sort(F.split(F.trim(F.lower(F.regexp_replace(parted, "[^A-Za-z0-9]+", " "))), " "))
 
 
 def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
@@ -168,16 +189,29 @@ def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
     """
     moved = steps.where((F.size("added") > 0) & (F.size("removed") > 0))
     roles = moved.select(F.explode(F.array(
-        F.struct(F.col(feed.file).alias("at"), F.col(feed.file).alias("step"), F.lit("new").alias("role"), F.col("added").alias("wanted")),
-        F.struct(F.col("previous_file").alias("at"), F.col(feed.file).alias("step"), F.lit("old").alias("role"), F.col("removed").alias("wanted")),
-    )).alias("r")).select("r.*")
-    narrow = records.where(F.col(feed.document[0]).isNotNull()).select(F.col(feed.file).alias("at"), F.to_json(F.struct(*feed.document)).alias("document"), F.col(feed.text).alias("text"))
-    facts = (
-        narrow.join(roles, "at")
-        .select("step", "role", "document", F.explode(_values(F.col("text"), F.col("wanted"))).alias("leaf"))
-        .groupBy("step", "role", "document", F.col("leaf.path").alias("path"))
-        .agg(F.min("leaf.value").alias("value"))
-    )
+        F.struct(F.col(feed.file).alias("at"), F.struct(F.col(feed.file).alias("step"), F.lit("new").alias("role"), F.col("added").alias("wanted")).alias("r")),
+        F.struct(F.col("previous_file").alias("at"), F.struct(F.col(feed.file).alias("step"), F.lit("old").alias("role"), F.col("removed").alias("wanted")).alias("r")),
+    )).alias("x")).groupBy("x.at").agg(F.to_json(F.collect_list("x.r")).alias("roles"))
+    first, *more = feed.document
+    document = F.concat_ws("\x1f", first, *[F.coalesce(F.col(c), F.lit("\x1e")) for c in more])
+    narrow = records.where(F.col(first).isNotNull()).select(F.col(feed.file).alias("at"), document.alias("document"), F.col(feed.text).alias("text"))
+    step_kind = records.schema[feed.file].dataType.simpleString()
+
+    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = lru_cache(4096)(lambda text: [(r["step"], r["role"], frozenset(r["wanted"])) for r in json.loads(text)])
+        for f in frames:
+            rows = []
+            for document, text, roles in zip(f["document"], f["text"], f["roles"], strict=True):
+                record = parse_object(text)
+                if record is None:
+                    continue
+                held = {_clean(p): v for p, v in leaves(record)}
+                for step, role, paths in wanted(roles):
+                    rows += [(step, role, document, p, _clean(v if isinstance(v := held[p], str) else json.dumps(v, sort_keys=True))) for p in paths & held.keys()]
+            yield pd.DataFrame(rows, columns=["step", "role", "document", "path", "value"])
+
+    met = narrow.join(roles, "at").select("document", "text", "roles")
+    facts = met.mapInPandas(values, f"step {step_kind}, role string, document string, path string, value string").groupBy("step", "role", "document", "path").agg(F.min("value").alias("value"))
     side = lambda role: F.collect_list(F.when(F.col("role") == role, F.struct("path", "value"))).alias(role)
     common = (  # a document meets only its own record in the other file; fields that moved are few
         facts.groupBy("step", "document")
@@ -189,8 +223,8 @@ def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
     )
     # Same-named pairs take part even without a common document.
     named = moved.select(F.col(feed.file).alias("step"), F.explode("removed").alias("old_field"), "added").select("step", "old_field", F.explode("added").alias("new_field"))
-    letters = lambda c: F.array_sort(F.split(_plain(F.col(c)), ""))
-    same = letters("old_field") == letters("new_field")
+    old, new = F.col("old_field"), F.col("new_field")
+    same = (_plain(old) == _plain(new)) | (_sorted_words(old) == _sorted_words(new))
     holds = _plain(F.col("old_field")).contains(_plain(F.col("new_field"))) | _plain(F.col("new_field")).contains(_plain(F.col("old_field")))
     pairs = named.join(common, ["step", "old_field", "new_field"], "left").fillna(0, ["equal", "differing"])
     supported = (F.col("differing") * 20 <= F.col("equal")) & ((F.col("equal") >= 3) | same | (holds & (F.col("equal") >= 1)))
@@ -201,9 +235,12 @@ def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
     return best.where((F.col("rank") == F.col("of_old")) & (F.col("rank") == F.col("of_new"))).select(F.col("step").alias(feed.file), "old_field", "new_field", "equal", "differing")
 
 
-def field_changes(records: DataFrame, feed: Feed = Feed()) -> DataFrame:
-    """``(file, change_kind, old_field, new_field)``: every change of a file against the one before it."""
-    _, steps = _registered(records, feed)
+def field_changes(records: DataFrame, feed: Feed = Feed(), registry: SchemaRegistry | None = None) -> DataFrame:
+    """``(file, change_kind, old_field, new_field)``: every change of a file against the one before it.
+
+    With a ``registry`` that knows earlier files, ``records`` must still hold the files that new ones follow, for renames.
+    """
+    _, steps = _registered(records, feed, registry)
     renamed = written(renames(records, steps, feed), "renames")
     gone = renamed.groupBy(feed.file).agg(F.collect_set("old_field").alias("gone"), F.collect_set("new_field").alias("came"))
     none = F.array().cast("array<string>")
@@ -219,14 +256,14 @@ def field_changes(records: DataFrame, feed: Feed = Feed()) -> DataFrame:
     return single.unionByName(renamed.select(feed.file, F.lit("renamed").alias("change_kind"), "old_field", "new_field"))
 
 
-def schema_versions(records: DataFrame, feed: Feed = Feed()) -> DataFrame:
+def schema_versions(records: DataFrame, feed: Feed = Feed(), registry: SchemaRegistry | None = None) -> DataFrame:
     """One row per file: its fingerprint and the number of the schema version it starts or continues.
 
     ``version`` counts the fingerprint changes of the source up to the file, from 1. The running
     count is taken inside blocks of files and over block totals, so a source with very many files
     is not one task.
     """
-    _, steps = _registered(records, feed)
+    _, steps = _registered(records, feed, registry)
     step = F.when(F.col("is_new_version"), 1).otherwise(0)
     blocked = steps.withColumn("_b", F.floor(F.col(feed.position) / 1024))
     totals = blocked.groupBy(feed.source, "_b").agg(F.sum(step).alias("_t")).withColumn("_before", F.sum("_t").over(Window.partitionBy(feed.source).orderBy("_b")) - F.col("_t"))
@@ -253,40 +290,120 @@ def _bare(path: str) -> str:
     return re.sub("[^a-z0-9]", "", path.rpartition(".")[2].lower())
 
 
-#: Words of a field name that only say how the fact is stored.
-_FILLERS = frozenset("is has n count counts meta".split())
+def _words(path: str) -> tuple[str, ...]:
+    return tuple(sorted(map(str.lower, re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", path.rpartition(".")[2]))))
+
+
+def speller(targets: Iterable[str]) -> Callable[[str], tuple[int, str] | None]:
+    """A function that gives the target a name spells, and how well: 3 as it stands, 2 apart from case, underscores and nesting, 1 also apart from the order of words."""
+    exact, bare, by_words = set(targets), {}, {}
+    for t in exact:
+        bare.setdefault(_bare(t), []).append(t)
+        by_words.setdefault(_words(t), []).append(t)
 
+    def spelled(name: str) -> tuple[int, str] | None:
+        if name in exact:
+            return 3, name
+        for strength, found in ((2, bare.get(_bare(name), [])), (1, by_words.get(_words(name), []))):
+            if len(found) == 1:
+                return strength, found[0]
+        return None
 
-def _words(path: str) -> frozenset[str]:
-    split = re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", path)
-    return frozenset(w.removesuffix("s") for w in map(str.lower, split) if w not in _FILLERS)
+    return spelled
 
 
-def routing(pairs: list[tuple[str, str, int]], paths: set[str], targets: Mapping[str, T.DataType]) -> dict[str, str]:
-    """Target path of each source path, by chaining rename steps; unroutable paths are absent.
+def _chained(part: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Line of every name of each file of one block, as JSON: ``b:<file>:<name>`` where it began in the block, else ``e:<name>`` at its entry.
 
-    A path that is a target stays; one that equals a single target apart from case, underscores and
-    nesting, or else in the order of its words and filler words, goes there; any other follows the
-    rename steps, best supported first, until a routed path is reached.
+    The last row, without file, has the lines of the names with which the block ends.
     """
-    bare: dict[str, list[str]] = {}
-    for t in targets:
-        bare.setdefault(_bare(t), []).append(t)
-    route = {p: p for p in paths if p in targets}
-    route |= {p: bare[_bare(p)][0] for p in paths if p not in route and len(bare.get(_bare(p), [])) == 1}
-    by_words: dict[frozenset[str], list[str]] = {}
-    for t in targets:
-        by_words.setdefault(_words(t), []).append(t)
-    learned = {x for old, new, _ in pairs for x in (old, new)}
-    route |= {p: by_words[_words(p)][0] for p in paths if p not in route and p not in learned and len(by_words.get(_words(p), [])) == 1}
-    grown = True
-    while grown:
-        grown = False
-        for old, new, _ in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
-            for a, b in ((old, new), (new, old)):
-                if a not in route and b in route:
-                    route[a], grown = route[b], True
-    return route
+    rows = rows.sort_values("position")
+    live: dict[str, str] = {}
+    out = []
+    for i, r in enumerate(rows.itertuples(index=False)):
+        new, old = list(r.new_names), list(r.old_names)
+        if i == 0 and not r.is_first:
+            stayed = set(r.names) - set(r.added) - set(new)
+            live = {n: f"e:{n}" for n in stayed | set(r.removed) | set(old)}
+        moved = {n: live.pop(o, f"b:{r.file}:{n}") for o, n in zip(old, new, strict=True)}
+        live = {n: line for n, line in live.items() if n not in set(r.removed)} | {n: f"b:{r.file}:{n}" for n in r.added} | moved
+        out.append((r.file, {n: live.setdefault(n, f"b:{r.file}:{n}") for n in r.names}))
+    out.append((None, live))
+    frame = pd.DataFrame({"at": [f for f, _ in out], "lines": [json.dumps(m, sort_keys=True) for _, m in out]}).astype({"at": "Int64"} if pd.api.types.is_integer_dtype(rows["file"]) else {})
+    return frame.assign(source=part[0], block=part[1])
+
+
+def _entered(part: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For each block of a source, the whole line of each name at its entry, as JSON; ``rows`` are the ends of blocks."""
+    held: dict[str, str] = {}
+    out = []
+    for block, lines in sorted(zip(rows["block"], rows["lines"], strict=True)):
+        out.append((part[0], block, json.dumps(held)))
+        held = {n: held.get(line[2:], f"b:{block}:{n}") if line.startswith("e:") else line for n, line in json.loads(lines).items()}
+    return pd.DataFrame(out, columns=["source", "block", "entry"])
+
+
+def field_lines(steps: DataFrame, fields: DataFrame, renamed: DataFrame, feed: Feed) -> DataFrame:
+    """``(source, file, name, line)``: the line each field of each file belongs to.
+
+    A field keeps its line over the files of its source and through renames; one that is removed and added
+    later begins a new line. Files are chained in blocks, and then the blocks, so that a source with very many
+    files is not one task.
+    """
+    moved = renamed.groupBy(feed.file).agg(F.sort_array(F.collect_list(F.struct("old_field", "new_field"))).alias("moved"))
+    none = F.array().cast("array<string>")
+    names = lambda c: F.coalesce(F.transform("moved", lambda m: m[c]), none)
+    rows = steps.join(fields.select(feed.file, F.map_keys("fields").alias("names")), feed.file).join(moved, feed.file, "left").select(
+        F.col(feed.source).alias("source"), F.floor(F.col(feed.position) / BLOCK).alias("block"), F.col(feed.position).alias("position"), F.col(feed.file).alias("file"), "names",
+        F.col("previous_file").isNull().alias("is_first"), names("old_field").alias("old_names"), names("new_field").alias("new_names"), F.array_except("added", names("new_field")).alias("added"), F.array_except("removed", names("old_field")).alias("removed"),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    chained = written(rows.groupBy("source", "block").applyInPandas(_chained, f"at {kinds['file']}, lines string, source {kinds['source']}, block bigint"), "field-lines")
+    entered = chained.where("at IS NULL").groupBy("source").applyInPandas(_entered, f"source {kinds['source']}, block bigint, entry string")
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    each = chained.where("at IS NOT NULL").join(entered, ["source", "block"]).select("source", F.col("at").alias("file"), as_map("entry").alias("entry"), F.explode(as_map("lines")).alias("name", "own"))
+    return each.select("source", "file", "name", F.when(F.col("own").startswith("e:"), F.coalesce(F.try_element_at("entry", F.expr("substr(own, 3)")), F.col("own"))).otherwise(F.col("own")).alias("line"))
+
+
+def migrations(records: DataFrame, schema: T.StructType, feed: Feed = Feed(), registry: SchemaRegistry | None = None) -> DataFrame:
+    """``(file, field, target, rule, cast)``: the rules of every file, one row per field of the file and per target it lacks.
+
+    ``rule``: ``keep``, ``rename`` (the field's line leads to the target), ``borrow`` (its line spells no target, but the
+    lines of this name in other sources all lead to this one), ``other`` (no target) or ``default`` (the file has no field for
+    the target). ``cast`` names the types seen that are not the target's, as ``integer>string``; null if there are none.
+    """
+    fields, steps = _registered(records, feed, registry)
+    renamed = written(renames(records, steps, feed), "renames")
+    lines = written(field_lines(steps, fields, renamed, feed), "lines")
+    targets = target_paths(schema)
+    spelled = speller(targets)
+
+    @F.pandas_udf("strength int, target string")
+    def spelling(names: pd.Series) -> pd.DataFrame:
+        found = [spelled(n) or (None, None) for n in names]
+        return pd.DataFrame({"strength": pd.array([s for s, _ in found], dtype="Int32"), "target": [t for _, t in found]})
+
+    # Of several targets that the names of a line spell, the best spelled one, then the first by alphabet.
+    known = lines.select("name").distinct().select("name", spelling("name").alias("s")).where("s.target IS NOT NULL")
+    led = lines.select("source", "name", "line").distinct().join(known, "name").groupBy("source", "line").agg(F.min(F.struct((-F.col("s.strength")).alias("strength"), F.col("s.target").alias("target")))["target"].alias("led"))
+    routed = lines.join(led, ["source", "line"], "left")
+    lent = routed.where("led IS NOT NULL").groupBy("name").agg(F.min("led").alias("lent"), F.max("led").alias("most")).where("lent = most").select("name", "lent")
+    own = routed.join(lent, "name", "left").withColumn("target", F.coalesce("led", "lent"))
+    rule = F.when(F.col("target").isNull(), "other").when(F.col("name") == F.col("target"), "keep").when(F.col("led").isNotNull(), "rename").otherwise("borrow")
+    native = F.create_map(*[F.lit(x) for t, k in targets.items() for x in (t, _native(k))])
+    odd = F.array_sort(F.filter("kinds", lambda k: k != F.col("native")))
+    cast = F.when(F.col("target").isNotNull() & (F.size(odd) > 0), F.concat(F.array_join(odd, ","), F.lit(">"), F.col("native")))
+    held = fields.select(F.col(feed.file).alias("file"), F.explode("fields").alias("name", "kinds"))
+    steps_of = own.join(held, ["file", "name"]).withColumn("native", F.try_element_at(native, F.col("target"))).select("file", F.col("name").alias("field"), "target", rule.alias("rule"), cast.alias("cast"))
+    steps_of = written(steps_of, "migrations")
+    every = F.array(*[F.lit(t) for t in targets])
+    lacking = fields.select(F.col(feed.file).alias("file")).join(steps_of.groupBy("file").agg(F.collect_set("target").alias("has")), "file", "left")
+    filled = lacking.select("file", F.lit(None).cast("string").alias("field"), F.explode(F.array_except(every, F.coalesce("has", F.array().cast("array<string>")))).alias("target"), F.lit("default").alias("rule"), F.lit(None).cast("string").alias("cast"))
+    return steps_of.unionByName(filled).withColumnRenamed("file", feed.file)
+
+
+def _native(kind: T.DataType) -> str:
+    return {"boolean": "boolean", "int": "integer", "bigint": "integer", "double": "decimal", "float": "decimal"}.get(kind.simpleString(), "list" if isinstance(kind, T.ArrayType) else "string")
 
 
 def cast_value(value: object, kind: T.DataType) -> object:
@@ -319,51 +436,49 @@ def _verdict(path: str, value: object) -> object:
     return value
 
 
-def consistent_reports(records: DataFrame, schema: T.StructType, feed: Feed = Feed(), keep: tuple[str, ...] = ("line_no", "url", "md5")) -> DataFrame:
-    """Every readable record once, as ``report`` of the target schema.
+def consistent_reports(records: DataFrame, schema: T.StructType, feed: Feed = Feed(), keep: tuple[str, ...] = ("line_no", "url", "md5"), defaults: Mapping[str, object] | None = None, registry: SchemaRegistry | None = None) -> DataFrame:
+    """Every readable record once, as ``report`` of the target schema, by the rules of its own file.
 
     Fields without a target are kept as JSON text in ``other_fields``, and so is a value whose target
-    already has a different one from another field of the record; missing fields come out null;
-    values that cannot be cast are null in ``report`` and counted in ``n_uncast``. A line delivered
-    repeatedly with the same text is one record. The rules are built from the field names and
-    rename steps of all files: their number is bounded by the schemas, not by the records, and it is
-    checked before they are sent to the tasks.
+    already has a different one from another field of the record, and a value that cannot be cast, which is null in
+    ``report`` and counted in ``n_uncast``. Missing fields come out as ``defaults`` (target path to value) or null. A
+    line delivered repeatedly with the same text is one record. See :func:`migrations` for the rules.
     """
-    fields, steps = _registered(records, feed)
-    pairs = renames(records, steps, feed).groupBy("old_field", "new_field").agg(F.count(F.lit(1)).alias("n")).limit(MAX_RENAME_PAIRS + 1).collect()
-    paths = [r[0] for r in fields.select(F.explode(F.map_keys("fields")).alias("path")).distinct().limit(MAX_RENAME_PAIRS + 1).collect()]
-    if max(len(pairs), len(paths)) > MAX_RENAME_PAIRS:
-        raise ValueError(f"more than {MAX_RENAME_PAIRS} field names or rename steps: these records have no schema")
     targets = target_paths(schema)
-    route = routing([tuple(p) for p in pairs], set(paths), targets)
+    rules = migrations(records, schema, feed, registry=registry)
+    routes = rules.where("field IS NOT NULL AND target IS NOT NULL").groupBy(feed.file).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "target"))))).alias("_route"))
+    filled = dict(defaults or {})
 
     @F.pandas_udf("report string, other_fields map<string,string>, n_uncast int")
-    def migrate(texts: pd.Series) -> pd.DataFrame:
+    def migrate(texts: pd.Series, routes: pd.Series) -> pd.DataFrame:
+        parsed = lru_cache(4096)(lambda r: json.loads(r) if r else {})
         reports, others, lost = [], [], []
-        for text in texts:
+        for text, own in zip(texts, routes, strict=True):
             record = parse_object(text)
             if record is None:
                 reports.append(None), others.append(None), lost.append(None)
                 continue
+            route = parsed(own)
             out, rest, bad = {}, {}, 0
             for path, value in sorted(leaves(record), key=lambda x: (route.get(x[0]) != x[0], x[0])):
-                to = route.get(path)
-                if to is None:
+                to = route.get(_clean(path))
+                made = None if to is None else cast_value(_verdict(to, value), targets[to])
+                if made is None:
+                    bad += to is not None
                     rest[_clean(path)] = _clean(json.dumps(value, sort_keys=True))
                     continue
-                made = cast_value(_verdict(to, value), targets[to])
-                bad += made is None
+                if out.setdefault(to, made) != made:  # the target's own spelling comes first
+                    rest[_clean(path)] = _clean(json.dumps(value, sort_keys=True))
+            tree: dict = {}
+            for to, made in {**filled, **out}.items():
                 *above, last = to.split(".")
-                node = out
+                node = tree
                 for name in above:
                     node = node.setdefault(name, {})
-                if node.get(last) is None:  # the target's own spelling comes first
-                    node[last] = made
-                elif made is not None and made != node[last]:
-                    rest[_clean(path)] = _clean(json.dumps(value, sort_keys=True))
-            reports.append(_clean(json.dumps(out))), others.append(rest), lost.append(bad)
-        return pd.DataFrame({"report": reports, "other_fields": others, "n_uncast": lost})
+                node[last] = made
+            reports.append(_clean(json.dumps(tree))), others.append(rest), lost.append(bad)
+        return pd.DataFrame({"report": reports, "other_fields": others, "n_uncast": pd.array(lost, dtype="Int32")})
 
     once = records.select(feed.source, feed.file, *keep, feed.text).distinct()
-    moved = once.withColumn("_m", migrate(F.col(feed.text))).where(F.col("_m.report").isNotNull())
+    moved = once.join(routes, feed.file, "left").withColumn("_m", migrate(F.col(feed.text), F.col("_route"))).where(F.col("_m.report").isNotNull())
     return moved.select(feed.source, feed.file, *keep, F.from_json("_m.report", schema).alias("report"), F.col("_m.other_fields").alias("other_fields"), F.col("_m.n_uncast").alias("n_uncast"))

@@ -27,6 +27,11 @@ def p1_reports(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_reports(table(spark, d, "report_records"), REPORT)
 
 
+def p1_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The migration rules of every file."""
+    return drift.migrations(table(spark, d, "report_records"), REPORT)
+
+
 def site_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of all sites, written once: one row per site, read again for the total."""
     made = profile.keyed_profile(
@@ -69,7 +74,7 @@ def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("url", "md5", "site", "first_snapshot", F.coalesce("following_snapshot", F.lit(-1)).alias("gone_in"), (F.col("last_ord") - F.col("first_ord") + 1).alias("n_snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_reports, p3_found, p3_sites, p3_pages, p4_found, p4_intervals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_reports, p1_steps, p3_found, p3_sites, p3_pages, p4_found, p4_intervals)}
 
 _ONCE = """once AS (
   SELECT snapshot_id, dense_rank() OVER (ORDER BY snapshot_id) AS ord, url, min({'m': coalesce(lower(md5), '-'), 's': coalesce(site, '-')}) AS v

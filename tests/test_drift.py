@@ -84,3 +84,49 @@ def test_predecessor_crosses_blocks(spark):
     df = spark.createDataFrame([("a", p, f"f{p}") for p in (1, 3, 5000, 5001, 90000)] + [("b", 7, "g")], "s string, p int, f string")
     got = {(r["s"], r["p"]): r["was"] for r in with_previous(df, "s", "p", "f", "was", block=10).collect()}
     assert got == {("a", 1): None, ("a", 3): "f1", ("a", 5000): "f3", ("a", 5001): "f5000", ("a", 90000): "f5001", ("b", 7): None}
+
+
+def test_letters_in_another_order_are_another_name(spark):
+    df = records(spark, {1: ("s", 1, [{"tested": 1}, {"lastSeen": 7}]), 2: ("s", 2, [{"detest": 2}, {"seen_last": 8}, {"seen_last": 9}])})
+    df = df.where("NOT (file_id = 2 AND line_no = 1)")  # no document in common
+    assert changes(df) == {(2, "removed", "tested", ""), (2, "added", "", "detest"), (2, "renamed", "lastSeen", "seen_last")}
+
+
+def test_each_source_has_its_own_chain(spark, monkeypatch):
+    monkeypatch.setattr(drift, "BLOCK", 2)
+    reports = lambda name, value=lambda i: 7 + i: [{name: value(i), "Images": i} for i in range(4)]
+    said = lambda i: f"t{i}"
+    df = records(spark, {
+        11: ("one", 1, reports("size")), 12: ("one", 2, reports("extent")), 13: ("one", 5, reports("Pages")),
+        21: ("two", 1, reports("Producer", said)), 22: ("two", 4, reports("size", said)), 23: ("two", 9, reports("size", said)),
+        31: ("three", 1, reports("size")), 41: ("four", 1, reports("extent")), 42: ("four", 2, reports("unheard", lambda i: 300 + i)),
+    })
+    rows = {(r["file_id"], r["line_no"]): r for r in drift.consistent_reports(df, REPORT).collect()}
+    assert [rows[f, 0]["report"]["Pages"] for f in (11, 12, 13)] == [7, 7, 7]
+    assert [rows[f, 0]["report"]["Producer"] for f in (21, 22, 23)] == ["t0", "t0", "t0"] and rows[22, 0]["report"]["Pages"] is None
+    assert rows[31, 0]["other_fields"] == {"size": "7"}  # other sources disagree about the name
+    assert rows[41, 0]["report"]["Pages"] == 7 and rows[42, 1]["other_fields"] == {"unheard": "301"}
+    rules = {(r["file_id"], r["field"], r["target"]): (r["rule"], r["cast"]) for r in drift.migrations(df, REPORT).collect()}
+    assert rules[12, "extent", "Pages"] == ("rename", None) and rules[22, "size", "Producer"] == ("rename", None) and rules[41, "extent", "Pages"] == ("borrow", None)
+    assert rules[31, "size", None] == ("other", None) and rules[13, None, "Creator"] == ("default", None)
+
+
+def test_values_that_cannot_be_cast_are_kept(spark):
+    df = records(spark, {1: ("s", 1, [{"Pages": "many", "Images": "3", "hasXmp": 1}])})
+    row = drift.consistent_reports(df, REPORT, defaults={"Creator": "unknown", "veraPDF.profile": "none"}).first()
+    assert (row["report"]["Pages"], row["report"]["Images"], row["report"]["hasXmp"]) == (None, 3, True)
+    assert row["other_fields"] == {"Pages": '"many"'} and row["n_uncast"] == 1
+    assert (row["report"]["Creator"], row["report"]["veraPDF"]["profile"]) == ("unknown", "none")
+    assert {(r["field"], r["cast"]) for r in drift.migrations(df, REPORT).where("field IS NOT NULL").collect()} == {("Pages", "string>integer"), ("Images", "string>integer"), ("hasXmp", "integer>boolean")}
+
+
+def test_a_registry_reads_each_file_once(spark, tmp_path, monkeypatch):
+    files = {1: ("s", 1, [{"a": 1}]), 2: ("s", 3, [{"a": "x"}]), 3: ("s", 2, [{"a": 1, "b": 2}])}
+    path, read = f"file://{tmp_path}/registry", []
+    inner = drift.file_fields
+    monkeypatch.setattr(drift, "file_fields", lambda r, f: read.append({x[0] for x in r.select("file_id").distinct().collect()}) or inner(r, f))
+    first = records(spark, {k: files[k] for k in (1, 2)})
+    assert {tuple(r) for r in drift.field_changes(first, registry=drift.SchemaRegistry(spark, path)).collect()} == {(2, "retyped", "a", "a")}
+    later = {tuple(r) for r in drift.field_changes(records(spark, files), registry=drift.SchemaRegistry(spark, path)).collect()}
+    assert later == {(3, "added", "", "b"), (2, "removed", "b", ""), (2, "retyped", "a", "a")}
+    assert read == [{1, 2}, {3}]
