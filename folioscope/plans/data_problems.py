@@ -37,7 +37,7 @@ def site_profile(spark: SparkSession, d: str) -> DataFrame:
     made = profile.keyed_profile(
         table(spark, d, "manifest"),
         "site",
-        rows={"n_rows": F.col("url")},
+        rows="n_rows",
         distinct={"n_urls": F.col("url"), "n_contents": F.lower(F.trim("md5"))},
         labelled=(F.col("entry_id"), F.col("status"), STATUSES),
         latest=iso_instant(F.col("crawled_at")),

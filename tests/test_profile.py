@@ -8,7 +8,7 @@ LAYOUT = "entry_id bigint, site string, url string, md5 string, status string, a
 
 
 def build(df):
-    return keyed_profile(df, "site", {"n_rows": F.col("url")}, {"n_urls": F.col("url"), "n_contents": F.lower("md5")}, (F.col("entry_id"), F.col("status"), ["ok", "bad"]), F.col("at"))
+    return keyed_profile(df, "site", "n_rows", {"n_urls": F.col("url"), "n_contents": F.lower("md5")}, (F.col("entry_id"), F.col("status"), ["ok", "bad"]), F.col("at"))
 
 
 def test_profile_against_brute_force(spark):
@@ -39,7 +39,7 @@ def test_empty_table(spark):
 def test_quantiles_and_mode_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot"] * 5 + ["b", None]), rng.choice([None, -5, 0, 1, 1, 2, 7, 7, 1000000])) for _ in range(500)] + [("one", 3), ("none", None)]
-    got = {r["k"]: r for r in weighted_quantiles(spark.createDataFrame(rows, "k string, x int"), "k", "x", [0.0, 0.5, 0.9, 1.0], buckets=8).collect()}
+    got = {r["k"]: r for r in weighted_quantiles(spark.createDataFrame(rows, "k string, x int"), "k", "x", [0.0, 0.5, 0.9, 1.0], parts=3).collect()}
     for key in {r[0] for r in rows} - {"none"}:
         own = sorted(x for k, x in rows if k == key and x is not None)
         for q, name in ((0.0, "q_0"), (0.5, "q_50"), (0.9, "q_90"), (1.0, "q_100")):
@@ -47,3 +47,13 @@ def test_quantiles_and_mode_against_brute_force(spark):
             assert got[key][name] == own[rank - 1], (key, q)
         assert got[key]["mode"] == min(set(own), key=lambda v: (-own.count(v), v))
     assert "none" not in got
+
+
+def test_quantiles_keep_their_type_and_cut_hot_keys_by_weight(spark):
+    big = 9007199254740993
+    rows = [("hot", big + i) for i in range(300)] + [("hot", 2**62)] + [(f"k{i}", -(2**60) - i) for i in range(40)]
+    got = {r["k"]: r for r in weighted_quantiles(spark.createDataFrame(rows, "k string, x bigint"), "k", "x", [0.0, 0.5, 1.0], parts=6).collect()}
+    assert (got["hot"]["q_0"], got["hot"]["q_50"], got["hot"]["q_100"], got["hot"]["mode"]) == (big, big + 150, 2**62, big)
+    assert got["k7"]["q_50"] == -(2**60) - 7
+    words = weighted_quantiles(spark.createDataFrame([("a", "x"), ("a", "b"), ("a", "b"), (None, "é")], "k string, x string"), "k", "x", [0.5])
+    assert {tuple(r) for r in words.collect()} == {("a", 3, "b", "b"), (None, 1, "é", "é")}
