@@ -7,18 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More deliveries than this are refused: their list is held by the driver and broadcast.
-MAX_SNAPSHOTS = 100_000
+from folioscope.runtime import written
 
+#: Up to so many deliveries their list is broadcast (20 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
-def _ordinals(df: DataFrame, snapshot: str) -> tuple[DataFrame, int]:
-    ids = [r[0] for r in df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().limit(MAX_SNAPSHOTS + 1).collect()]
-    if len(ids) > MAX_SNAPSHOTS:
-        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots")
-    ids.sort()
-    rows = [(s, i + 1, ids[i + 1] if i + 1 < len(ids) else None) for i, s in enumerate(ids)]
-    kind = df.schema[snapshot].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"_id {kind}, _ord int, _following {kind}"), len(ids)
+
+def _ordinals(df: DataFrame, snapshot: str) -> DataFrame:
+    """``(_id, _ord, _following)``: the deliveries in order; one row for each, so the window over all of them is small."""
+    ids = df.select(F.col(snapshot).alias("_id")).where("_id IS NOT NULL").distinct()
+    in_order = Window.orderBy("_id")
+    return ids.select("_id", F.row_number().over(in_order).alias("_ord"), F.lead("_id").over(in_order).alias("_following"))
 
 
 def validity_intervals(df: DataFrame, snapshot: str, key: str, compared: Mapping[str, Column]) -> DataFrame:
@@ -34,11 +33,13 @@ def validity_intervals(df: DataFrame, snapshot: str, key: str, compared: Mapping
     Copies are combined before the shuffle, and a window then holds at most one row of a key per
     snapshot, so no key can grow into a large task.
     """
-    order, _ = _ordinals(df, snapshot)
+    order = written(_ordinals(df, snapshot), "deliveries")
+    if order.count() <= BROADCAST_ROWS:
+        order = F.broadcast(order)
     names = list(compared)
     narrow = df.where(F.col(key).isNotNull()).select(F.col(snapshot).alias("_id"), F.col(key).alias("_key"), F.struct(*[c.alias(n) for n, c in compared.items()]).alias("_values"))
     once = (
-        narrow.join(F.broadcast(order), "_id")  # bounded by MAX_SNAPSHOTS
+        narrow.join(order, "_id")
         .groupBy("_key", "_ord", "_id", "_following")
         .agg(F.min("_values").alias("_values"))
         .withColumn("_hash", F.md5(F.to_json("_values")))
