@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: RFC 3986 appendix B: scheme, authority, path, query, fragment.
 SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
-#: Start of a bare domain with an optional path, as accepted for scan requests.
+#: Fixed value: start of a bare domain with an optional path, as accepted for scan requests.
 BARE_DOMAIN = r"^[a-zA-Z0-9][a-zA-Z0-9.\-_/]*\.[a-zA-Z]{2,}"
-#: Hosts that name the machine itself or a private network.
+#: Fixed value: hosts that name the machine itself or a private network.
 PRIVATE_HOST = r"^(localhost|::1|\[::1\]|127\.0\.0\.1|10\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|192\.168\..*|169\.254\..*)$"
 DOWNLOADS = (".pdf",)
 
@@ -133,12 +133,24 @@ def is_bare_domain(text: Column) -> Column:
     return t.rlike(BARE_DOMAIN) & ~t.contains("..") & ~t.startswith(".")
 
 
-def normalized(text: Column) -> Column:
-    """Seed URL: the host in lower case, ``https://`` before a bare domain, null if it is neither."""
-    t = F.trim(text)
-    with_scheme = F.concat(F.regexp_extract(t, r"^([^:/?#]+://)", 1), F.lower(F.regexp_extract(t, r"^[^:/?#]+://([^/?#]*)", 1)), F.regexp_extract(t, r"(?s)^[^:/?#]+://[^/?#]*(.*)\z", 1))
-    bare = F.regexp_replace(t, "^/+", "")
-    return F.when(t.rlike(r"^[^:/?#]+://"), with_scheme).when(is_bare_domain(t), F.concat(F.lit("https://"), bare))
+#: Beginnings that are tried for a bare domain, in order.
+PREFIXES = ("https://", "https://www.", "http://", "http://www.")
+
+
+def normalized(text: Column, reachable: Column | None = None) -> Column:
+    """Seed URL: with a scheme, the host in lower case; else the first of ``PREFIXES`` with which a domain is ``reachable``.
+
+    ``reachable``: the URLs known to answer, an array. Where none does, or the text has not the shape of a domain, it is
+    ``https://`` and the text without its leading slashes.
+    """
+    with_scheme = F.concat(F.regexp_extract(text, "^(https?://)", 1), F.lower(F.regexp_extract(text, "^https?://([^/?#]*)", 1)), F.regexp_extract(text, r"(?s)^https?://[^/?#]*(.*)\z", 1))
+    bare = F.regexp_replace(text, "^/+", "")
+    fallback = F.concat(F.lit("https://"), bare)
+    if reachable is not None:
+        candidates = F.array(*[F.concat(F.lit(p), bare) for p in PREFIXES])
+        found = F.try_element_at(F.filter(candidates, lambda c: F.array_contains(reachable, c)), F.lit(1))
+        fallback = F.when(is_bare_domain(text), F.coalesce(found, fallback)).otherwise(fallback)
+    return F.when(text.rlike("^https?://"), with_scheme).otherwise(fallback)
 
 
 def is_submittable(url: Column) -> Column:
@@ -150,4 +162,4 @@ def is_submittable(url: Column) -> Column:
 def hrefs(html: Column) -> Column:
     """Targets of the anchors of a page, in order; double, single and unquoted attributes."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(1))
-    return F.transform(tags, lambda t: F.regexp_replace(t, "^[\"']|[\"']$", ""))
+    return F.transform(tags, lambda t: F.regexp_replace(F.regexp_replace(t, "^[\"']|[\"']$", ""), r"^\s+|\s+$", ""))

@@ -6,34 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.texts import is_language_tag, word_count
-from folioscope.functions.times import iso_instant, pdf_date
+from folioscope.functions.times import any_date, at_offset, offset_minutes, pdf_date
 from folioscope.operators.manifest import first_by_url
 from folioscope.operators.verdicts import judged
 from folioscope.schema import REPORT
 
 
 def document_date(facts: DataFrame) -> DataFrame:
-    """Add ``doc_date``: the first readable date, modification before creation and metadata before the document's own."""
-    return facts.withColumn("doc_date", F.coalesce(iso_instant(F.col("xmp_modify")), pdf_date(F.col("doc_mod")), iso_instant(F.col("xmp_create")), pdf_date(F.col("doc_creation"))))
+    """Add ``doc_date``, the first readable date, and ``doc_offset``, its minutes from UTC.
+
+    Modification comes before creation, and metadata before the document's own entries.
+    """
+    dates = [("xmp_modify", any_date), ("dc_modified", any_date), ("doc_mod", pdf_date), ("xmp_create", any_date), ("doc_creation", pdf_date)]
+    found = F.coalesce(*[F.when(read(F.col(c)).isNotNull(), F.struct(read(F.col(c)).alias("at"), offset_minutes(F.col(c)).alias("offset"))) for c, read in dates])
+    return facts.withColumn("_date", found).withColumn("doc_date", F.col("_date.at")).withColumn("doc_offset", F.col("_date.offset")).drop("_date")
 
 
 def reports_of(facts: DataFrame, languages: list[str]) -> DataFrame:
     """``url``, ``report`` of the fixed layout and ``errors`` (the log, if any) for each row of facts.
 
-    ``facts`` may hold the text in ``text``; without it the number of words is null.
+    ``facts`` hold the text in ``text``, or its number of words in ``n_words``.
     """
-    text = word_count(F.col("text")).cast("int") if "text" in facts.columns else F.lit(None).cast("int")
+    text = word_count(F.col("text")).cast("int") if "text" in facts.columns else F.col("n_words")
     dated = document_date(facts).withColumn("lang_valid", is_language_tag(F.col("lang"), languages)).withColumn("words", text)
     j = judged(dated)
     true_or_null = lambda c: F.when(F.coalesce(c, F.lit(False)), True)
     readable = ~F.col("BrokenFile")
+    has_title = F.coalesce("title", F.lit("")) != ""
     given = {
-        "Date": F.date_format("doc_date", "yyyy-MM-dd HH:mm:ss'+00:00'"), "hasTitle": F.when(F.col("has_xmp"), F.coalesce(F.trim("title"), F.lit("")) != ""), "hasDisplayDocTitle": F.col("display_doc_title"),
+        "Date": F.when(F.col("has_xmp"), at_offset(F.col("doc_date"), F.col("doc_offset"))), "hasTitle": F.when(F.col("has_xmp"), has_title), "hasDisplayDocTitle": F.when(F.col("has_xmp") & has_title, F.coalesce(F.col("has_viewer_prefs") & F.col("display_doc_title"), F.lit(False))),
         "hasLang": F.when(readable, F.coalesce("lang", F.lit("")) != ""), "InvalidLang": true_or_null((F.col("lang") != "") & ~F.coalesce("lang_valid", F.lit(False))), "Form": true_or_null(F.col("Form")), "xfa": true_or_null(F.col("xfa_required")),
-        "hasBookmarks": F.when(readable, F.col("n_outline_roots") > 0), "hasXmp": F.col("has_xmp"), "PDFVersion": F.col("pdf_version"), "Creator": F.col("creator"), "Producer": F.col("producer"), "Pages": F.col("n_pages"), "Words": F.col("words"), "Images": F.col("n_images"), "veraPDF": F.lit(None),
+        "hasBookmarks": F.when(readable, F.col("n_outline_roots") > 0), "hasXmp": F.col("has_xmp"), "PDFVersion": F.col("pdf_version"), "Creator": F.when(F.col("has_xmp"), F.col("creator")), "Producer": F.when(F.col("has_xmp"), F.col("producer")), "Pages": F.col("n_pages"), "Words": F.col("words"), "Images": F.col("n_images"), "veraPDF": F.lit(None),
     }
-    tests = {n: F.when(readable, F.col(n)) for n in ("TaggedTest", "EmptyTextTest", "ProtectedTest", "TitleTest", "LanguageTest", "BookmarksTest")}
-    fields = [(given | tests).get(f.name, F.col(f.name) if f.name in j.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in REPORT.fields]
+    fields = [given.get(f.name, F.col(f.name) if f.name in j.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in REPORT.fields]
     errors = F.when(F.col("log") != "", F.array("log")).otherwise(F.array().cast("array<string>"))
     return j.select("url", F.struct(*fields).alias("report"), errors.alias("errors"))
 

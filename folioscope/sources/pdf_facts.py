@@ -7,6 +7,7 @@ not decrypt; an encrypted file keeps its permission facts.
 
 from __future__ import annotations
 
+import html
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,33 @@ _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
 MAX_INFLATED = 64 * 1024 * 1024
 
 FACTS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in "open_error error_kind pdf_version creator producer title lang doc_mod doc_creation xmp_modify xmp_create".split()]
-    + [T.StructField(n, T.IntegerType()) for n in "n_pages n_images p revision n_fields n_outline_roots".split()]
+    [T.StructField(n, T.StringType()) for n in "open_error error_kind pdf_version creator producer title lang doc_mod doc_creation xmp_modify dc_modified xmp_create".split()]
+    + [T.StructField(n, T.IntegerType()) for n in "n_pages n_images n_words p revision n_fields n_outline_roots".split()]
     + [T.StructField(n, T.BooleanType()) for n in "has_xmp has_viewer_prefs display_doc_title has_struct_tree has_mark_info marked encrypted allow_accessibility xfa_required".split()]
     + [T.StructField("font_names", T.ArrayType(T.StringType())), T.StructField("num_tf", T.LongType())]
 )
 _EMPTY = {f.name: None for f in FACTS.fields}
 
 
+#: Operators and operands that matter for text: names, strings, gaps of shown lines, and operators.
+_SHOWN = re.compile(rb"""/(?P<name>[^\s/<>\[\]()]+)|(?P<text>\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>)|(?P<number>-?\d+(?:\.\d+)?)(?=\s*[(<\]])|(?P<op>\b(?:Tf|Td|TD|Tm|BT|Do)\b|T\*|['"])""", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _string(value: bytes) -> bytes:
+    """Bytes of a literal or hexadecimal string."""
+    if value.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", value[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+    def plain(m: re.Match) -> bytes:
+        if m[1][:1].isdigit():
+            return bytes([int(m[1], 8) & 255])
+        return b"" if m[1] in (b"\n", b"\r\n") else _ESCAPES.get(m[1], m[1])
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, value[1:-1], flags=re.S)
+
+
 class TooLarge(ValueError):
     """A stream inflates to more than ``MAX_INFLATED``."""
 
@@ -109,6 +129,69 @@ class _File:
         m = re.match(rb"\d+\s+\d+\s+R\b|\((?:\\.|[^\\()]|\([^()]*\))*\)|<[^>]*>|/[^\s/<>\[\]()]+|[^\s/<>\[\]()]+", rest, re.S)
         return self.follow(m[0]) if m else None
 
+    def page_bodies(self) -> list[bytes]:
+        return [b for b in self.objects.values() if re.search(rb"/Type\s*/Page(?![a-zA-Z])", b)]
+
+    def entries(self, value: bytes | None) -> dict[str, bytes]:
+        """References of a dictionary by their names."""
+        return {m[1].decode("latin-1"): m[2] for m in re.finditer(rb"/([^\s/<>\[\]()]+)\s*(\d+\s+\d+\s+R\b)", value or b"")}
+
+    def codes(self, font: bytes | None) -> tuple[dict[int, str], int]:
+        """Characters by code of a font with a ToUnicode map, and the bytes of a code; empty without one."""
+        head = _head(font or b"")
+        m = re.search(rb"/ToUnicode\s*(\d+\s+\d+\s+R\b)", head)
+        if m is None:
+            return {}, 1
+        cmap, out, width = _inflated(self.follow(m[1]) or b""), {}, 1
+        text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", block):
+                width, out[int(code, 16)] = max(1, len(code) // 2), text(to)
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for low, high, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]{4})>", block):
+                width = max(1, len(low) // 2)
+                for i in range(min(int(high, 16) - int(low, 16), 0xFFFF) + 1):
+                    out[int(low, 16) + i] = chr(min(int(to, 16) + i, 0x10FFFF))
+        return out, width
+
+    def text(self, page: bytes, above: tuple[bytes, ...] = ()) -> str:
+        """Text that the content of a page or form shows, in order of drawing; a move to another place parts words."""
+        head = _head(page)
+        resources = self.get(head, b"Resources")
+        for _ in range(50):  # a page inherits them
+            if resources is not None or above:
+                break
+            head = self.get(head, b"Parent") or b""
+            resources = self.get(head, b"Resources")
+        fonts = {n: self.codes(self.follow(r)) for n, r in self.entries(self.get(resources, b"Font")).items()}
+        forms = self.entries(self.get(resources, b"XObject"))
+        content = page if above else b"\n".join(_inflated(self.follow(r) or b"") for r in re.findall(rb"\d+\s+\d+\s+R\b", self.raw(_head(page), b"Contents") or b""))
+        content = _inflated(page) if above else content
+        out, (codes, width), before = [], ({}, 1), b""
+        for m in _SHOWN.finditer(content):
+            if m["name"] is not None:
+                before = m["name"]
+            elif m["text"] is not None:
+                raw = _string(m["text"])
+                out.append("".join(codes.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width)) if codes else raw.decode("cp1252", "replace"))
+            elif m["number"] is not None:
+                if float(m["number"]) < -200:  # a gap inside a shown line, as wide as a blank
+                    out.append(" ")
+            elif m["op"] == b"Tf":
+                codes, width = fonts.get(before.decode("latin-1"), ({}, 1))
+            elif m["op"] == b"Do":
+                form = self.follow(forms.get(before.decode("latin-1"))) or b""
+                if self.get(_head(form), b"Subtype") == b"/Form" and form not in above:
+                    out.append(" " + self.text(form, (*above, form)) + " ")
+            elif m["op"] in (b"Td", b"TD", b"Tm", b"T*", b"'", b'"', b"BT"):
+                out.append("\n")
+        return "".join(out)
+
+    def raw(self, body: bytes, key: bytes) -> bytes | None:
+        """Value of ``key`` as written: a reference stays one."""
+        m = re.search(rb"/" + key + rb"(?![A-Za-z0-9])\s*(\[[^\]]*\]|\d+\s+\d+\s+R\b)", body)
+        return m[1] if m else None
+
     def images(self, body: bytes | None, above: tuple[bytes, ...] = ()) -> int:
         """Images that the resources of a page or form name, those of nested forms included; a form inside itself counts once."""
         head = _head(body or b"")
@@ -129,6 +212,14 @@ class _File:
         return count
 
 
+def _words(f: _File, pages: list[bytes]) -> int | None:
+    """Words of all pages; null where the text cannot be read."""
+    try:
+        return sum(len(re.findall(r"\S+", f.text(p))) for p in pages)
+    except (ValueError, IndexError, KeyError, RecursionError):
+        return None
+
+
 def read_facts(data: bytes) -> dict:
     """Facts of one file. A damaged or foreign file has ``open_error`` and ``error_kind``, and what was found before."""
     facts = dict(_EMPTY)
@@ -143,20 +234,21 @@ def read_facts(data: bytes) -> dict:
         if root is None:
             return facts | {"open_error": "no catalog", "error_kind": "pdf"}
         info = f.get(trailer, b"Info")
-        for name, key in (("creator", b"Creator"), ("producer", b"Producer"), ("title", b"Title"), ("doc_mod", b"ModDate"), ("doc_creation", b"CreationDate")):
+        for name, key in (("title", b"Title"), ("doc_mod", b"ModDate"), ("doc_creation", b"CreationDate")):
             value = f.get(info, key)
             facts[name] = _text(value) if value and value[:1] in b"(<" else None
         bodies = list(f.objects.values())
-        facts["n_pages"] = sum(bool(re.search(rb"/Type\s*/Page(?![a-zA-Z])", b)) for b in bodies)
-        facts["n_images"] = sum(f.images(b) for b in bodies if re.search(rb"/Type\s*/Page(?![a-zA-Z])", b))
+        pages = f.page_bodies()
+        facts["n_pages"] = len(pages)
+        facts["n_images"] = sum(map(f.images, pages))
         metadata = f.get(root, b"Metadata")
         facts["has_xmp"] = metadata is not None
         xmp = _inflated(metadata or b"")
-        for name, tag in (("xmp_modify", rb"xmp:ModifyDate"), ("xmp_create", rb"xmp:CreateDate")):
+        for name, tag in (("xmp_modify", rb"xmp:ModifyDate"), ("dc_modified", rb"dc:[Mm]odified"), ("xmp_create", rb"xmp:CreateDate"), ("creator", rb"xmp:CreatorTool"), ("producer", rb"pdf:Producer")):
             m = re.search(tag + rb"(?:>|=\")([^<\"]+)", xmp)
-            facts[name] = m[1].decode("utf-8", "replace").strip() if m else None
+            facts[name] = html.unescape(m[1].decode("utf-8", "replace").strip()) if m else None
         if m := re.search(rb"<dc:title>.*?<rdf:li[^>]*>([^<]*)<", xmp, re.S):
-            facts["title"] = m[1].decode("utf-8", "replace") or facts["title"]
+            facts["title"] = html.unescape(m[1].decode("utf-8", "replace")) or facts["title"]
         lang = f.get(root, b"Lang")
         facts["lang"] = _text(lang) if lang and lang[:1] in b"(<" else None
         preferences = f.get(root, b"ViewerPreferences")
@@ -174,8 +266,11 @@ def read_facts(data: bytes) -> dict:
         facts["n_fields"] = len(_REFERENCE.findall(f.get(form, b"Fields") or b""))
         facts["xfa_required"] = b"dynamicRender>required" in b"".join(_inflated(b) for b in bodies) if f.get(form, b"XFA") else False
         facts["n_outline_roots"] = int(f.get(f.get(root, b"Outlines"), b"First") is not None)
-        facts["font_names"] = sorted({n.decode("latin-1") for b in bodies for n in re.findall(rb"/BaseFont\s*/([^\s/<>\[\]()]+)", b)})
+        fonts = [b for b in bodies if re.search(rb"/BaseFont(?![A-Za-z])|/Type\s*/Font(?![A-Za-z])", _head(b))]
+        described = [(f.get(f.get(b, b"FontDescriptor"), b"FontName") or b"/") if f.get(b, b"FontDescriptor") else f.get(b, b"BaseFont") or b"/" for b in fonts]
+        facts["font_names"] = sorted({n[1:].decode("latin-1") for n in described})
         facts["num_tf"] = sum(len(re.findall(rb"\bTf\b", _inflated(b))) for b in bodies if b"stream" in b and b"/Image" not in b)
+        facts["n_words"] = None if facts["encrypted"] else _words(f, pages)
     except (ValueError, IndexError, KeyError) as error:
         facts |= {"open_error": f"{type(error).__name__}", "error_kind": "value"}
     return facts
