@@ -8,13 +8,14 @@ import sys
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls
-from folioscope.functions.times import age_days, iso_instant
+from folioscope.functions.times import age_days, age_text, iso_instant
 from folioscope.operators import analysis, manifest, reports
-from folioscope.runtime import written
+from folioscope.operators.neighbours import numbered
+from folioscope.runtime import exists, written
 from folioscope.sources import files, sinks
 from folioscope.sources.pdf_facts import pdf_facts
 from folioscope.sources.yaml_manifest import read_manifest, write_manifest
@@ -35,13 +36,14 @@ def merge_crawl(spark: SparkSession, a: argparse.Namespace, now: str) -> int:
     folder = f"{a.output_dir}/{site}"
     names = files.name_map(spark, f"{folder}/_url_map.json", "url")
     held = written(read_manifest(spark, a.manifest), "held")
-    pages = files.crawled_pages(spark, f"{folder}/_crawled_pages.json")
-    if Path(folder).is_dir():
-        got = files.with_urls(files.downloads(spark, folder, site), names)
-        scan = got.select(F.row_number().over(Window.orderBy("path")).alias("scan_pos"), "url", "md5", "filename", "site", F.lit(now).alias("crawled_at"), F.lit(a.notes).alias("notes"))
+    pages = files.crawled_pages(spark, f"{folder}/_crawled_pages.json").where(F.col("seq") < a.max_pages)
+    if exists(spark, folder):
+        got = numbered(files.with_urls(files.downloads(spark, folder, site), names), "path", "scan_pos")
+        scan = got.select("scan_pos", "url", "md5", "filename", "site", F.lit(now).alias("crawled_at"), F.lit(a.notes).alias("notes"))
         held = manifest.upsert(held, scan)
         inventory = files.link_inventory(pages, names, files.name_map(spark, f"{folder}/_referer_map.json", "referer"))
-        sinks.write_csv(inventory, f"{a.report_dir}/crawled_urls", ["part", "seq"], crlf=True)
+        for target in (folder, a.report_dir):
+            sinks.write_csv(inventory.na.fill(""), f"{target}/crawled_urls.csv", ["url", "type", "referer"], ["part", "at", "seq"], crlf=True)
     write_manifest(written(held, "manifest"), a.manifest)  # the export replaces the file these rows were read from
     return pages.count()
 
@@ -59,7 +61,7 @@ def analyse(spark: SparkSession, a: argparse.Namespace, now: str) -> DataFrame:
     pending = held.where(F.col("status") == "pending")
     if a.site:
         pending = pending.where(F.col("site") == a.site)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(a.crawled_dir) if Path(a.crawled_dir).is_dir() and any(Path(a.crawled_dir).rglob("*.*")) else None
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(a.crawled_dir) if exists(spark, a.crawled_dir) else None
     layout = "path string, length bigint, filename string, site string"
     there = listed.select("path", "length", F.element_at(F.split("path", "/"), -1).alias("filename"), F.element_at(F.split("path", "/"), -2).alias("site")) if listed is not None else spark.createDataFrame([], layout)
     met = pending.join(there, ["site", "filename"], "left")
@@ -71,29 +73,39 @@ def analyse(spark: SparkSession, a: argparse.Namespace, now: str) -> DataFrame:
         chosen = outcome.where("outcome = 'analyse'").select("path", "url")
         facts = pdf_facts(listed, a.max_file_size).join(chosen, "path")
         done = analysis.stored(held, analysis.reports_of(facts, languages(spark)))
-    text = {"missing": "File not found on disk", "stale": "File not found and the entry is stale", "not_pdf": "Not a PDF file", "oversize": "File too large"}
-    failed = outcome.where(F.col("outcome").isin(*text)).select("url", F.col("entry_pos").alias("result_pos"), F.lit(False).alias("ok"), F.array(F.create_map(*[F.lit(x) for kv in text.items() for x in kv])[F.col("outcome")]).alias("errors"))
+    at, at_now = iso_instant(F.col("crawled_at")), F.to_timestamp(F.lit(now))
+    age = F.when(at.isNotNull(), age_text(at, at_now, F.lit(None).cast("string")))
+    errors = manifest.guard_errors(outcome.withColumn("size_mb", F.col("length") / 1048576.0), a.crawled_dir, age, a.max_file_size, a.max_age_days)
+    failed = errors.select("url", F.col("entry_pos").alias("result_pos"), F.lit(False).alias("ok"), F.array("error").alias("errors"))
     write_manifest(written(manifest.mark(done, failed), "manifest"), a.manifest)
     return outcome.groupBy("outcome").count()
 
 
 def write_reports(spark: SparkSession, a: argparse.Namespace, now: str) -> None:
+    """Reports of all sites; page, history entry and comment are about one site if one is named."""
     held = written(read_manifest(spark, a.manifest), "held")
     own = held.where(F.col("site") == a.site) if a.site else held
-    out = Path(a.report_dir)
-    out.mkdir(parents=True, exist_ok=True)
-    sinks.write_markdown(held, 0, str(out / "report.md"))
-    sinks.write_report_json(held, str(out / "report_json"))
-    sinks.write_csv(reports.csv_rows(held), str(out / "report_csv"), ["entry_pos"])
-    if a.issue_comment_file:
-        Path(a.issue_comment_file).write_text(sinks.issue_comment(own), "utf-8")
-    sinks.write_html(held, "Report", out / "report.html")
-    if a.archive_dir:
+    pages = 0
+    if a.crawled_dir and a.site:
+        pages = files.crawled_pages(spark, f"{a.crawled_dir}/{a.site}/_crawled_pages.json").count()
+        sinks.copy_text(spark, f"{a.crawled_dir}/{a.site}/crawled_urls.csv", f"{a.report_dir}/crawled_urls.csv")
+    sinks.write_markdown(held, pages, f"{a.report_dir}/report.md", now)
+    sinks.write_report_json(held, f"{a.report_dir}/report.json", pages, now)
+    sinks.write_csv(reports.csv_rows(held), f"{a.report_dir}/report.csv", reports.CSV_COLUMNS, ["entry_pos"])
+    if a.html_dir:
+        sinks.write_html(held, "Report", f"{a.html_dir}/report.html", pages, now)
+    name = None
+    if a.html_dir and a.archive_dir:
         name = sinks.archive(spark, own, a.site, now, a.archive_dir)
         done = reports.summary(own).first()
-        links = {"crawl_url": a.crawl_url, "run_url": a.run_url, "issue_url": a.issue_url}
-        sinks.add_to_history(spark, {"date": now, "site": a.site or "all", **links, "archive_file": name, **{c: done[c] for c in ("total", "analysed", "accessible")}}, out / "reports.json")
-        sinks.write_reports_page(out, Path(os.path.relpath(a.archive_dir.removeprefix("file://"), out)).as_posix())
+        scan = {"date": now, "site": a.site or "all", "crawl_url": a.crawl_url, "run_url": a.run_url, "issue_url": a.issue_url, "archive_file": name, "total": done["total_files"], "analysed": done["analysed"], "accessible": done["accessible"]}
+        sinks.add_to_history(spark, scan, f"{a.archive_dir}/index.json")
+        there, here = (d.removeprefix("file://") for d in (a.archive_dir, a.html_dir))
+        sinks.write_reports_page(spark, f"{a.html_dir}/reports.html", Path(os.path.relpath(there, here)).as_posix())
+        for source, target in ((f"{a.report_dir}/report.json", "report.json"), (f"{a.report_dir}/report.csv", "report.csv"), (a.manifest, "manifest.yaml")):
+            sinks.copy_text(spark, source, f"{a.archive_dir}/{target}")
+    if a.issue_comment_file:
+        sinks.write_lines(spark, a.issue_comment_file, [sinks.issue_comment(own, a.crawl_url, a.pages_base, a.run_url, pages, name)])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -103,6 +115,8 @@ def main(argv: list[str] | None = None) -> int:
     crawl.add_argument("--url", required=True)
     crawl.add_argument("--output-dir", default="crawled_files")
     crawl.add_argument("--notes", default="")
+    crawl.add_argument("--max-pages", type=int, default=2500, help="pages of the crawl that are taken, in order of visit")
+    crawl.add_argument("--skip-crawl", action="store_true", help="accepted for scripts; this command never fetches, it merges a finished crawl")
     crawl.add_argument("--report-dir", default="reports")
     check = commands.add_parser("analyse", help="judge pending files")
     check.add_argument("--crawled-dir", default="crawled_files")
@@ -114,9 +128,11 @@ def main(argv: list[str] | None = None) -> int:
     report.add_argument("--report-dir", default="reports")
     report.add_argument("--site")
     report.add_argument("--issue-comment-file")
-    report.add_argument("--archive-dir")
-    for link in ("--crawl-url", "--run-url", "--issue-url"):
-        report.add_argument(link, help="kept in the history of archived reports")
+    report.add_argument("--html-dir", help="write pages there")
+    report.add_argument("--archive-dir", help="keep the page of this scan and the history there; needs --html-dir")
+    report.add_argument("--crawled-dir", help="state of the site's crawl, for the number of pages")
+    for link in ("--crawl-url", "--run-url", "--issue-url", "--pages-base"):
+        report.add_argument(link, default="")
     for p in (crawl, check, report):
         p.add_argument("--manifest", default="reports/manifest.yaml")
     a = parser.parse_args(argv)

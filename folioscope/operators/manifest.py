@@ -95,6 +95,37 @@ def schedule(pending: DataFrame, exists: Column, stale: Column, size_mb: Column,
     return counted.withColumn("outcome", F.when(F.col("consumed") > max_files, "waiting").otherwise(F.col("guard"))).drop("guard")
 
 
+def guard_errors(outcomes: DataFrame, folder: str, age: Column, max_mb: float, max_age_days: float | None) -> DataFrame:
+    """``(entry_pos, url, error)`` of the entries that a guard stopped; ``age`` is the age text of a crawl time, null if unreadable.
+
+    Fixed values: the texts. ``outcomes`` has site, filename, crawled_at, and size_mb of the file.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    at, name = text("crawled_at"), F.concat_ws("/", F.lit(folder), text("site"), text("filename"))
+    aged = F.when(age.isNotNull(), F.concat(F.lit(" (crawled "), age, F.lit(" day(s) ago at "), at, F.lit(")"))).when(at != "", F.concat(F.lit(" (crawled_at: '"), at, F.lit("')"))).otherwise("")
+    missing = F.concat(F.lit("File not found: "), name, aged, F.lit(". Possible causes: failed download, incomplete artifact transfer, or stale manifest entry from a previous run."))
+    stale = F.concat(F.lit(f"Stale manifest entry: file not found after {max_age_days:g}+ days (crawled_at: " if max_age_days is not None else ""), at, F.lit("). The file was probably downloaded in a previous run whose crawled_files directory is no longer available."))
+    ext = F.regexp_extract(text("filename"), r"[^/.][^/]*?(\.[^./]+)$", 1)
+    other = F.concat(F.lit("Not a PDF file: "), F.coalesce(F.nullif(ext, F.lit("")), F.lit("(no extension)")))
+    large = F.concat(F.lit("File too large to analyse: "), F.format_string("%.1f", "size_mb"), F.lit(f" MB (limit: {max_mb:.0f} MB)"))
+    o = F.col("outcome")
+    return outcomes.where(o.isin("missing", "stale", "not_pdf", "oversize")).select("entry_pos", "url", F.when(o == "missing", missing).when(o == "stale", stale).when(o == "not_pdf", other).otherwise(large).alias("error"))
+
+
+def run_outcomes(scheduled: DataFrame, reports: DataFrame) -> DataFrame:
+    """``(outcome, n)`` of a run: what became of the entries taken, waiting ones aside.
+
+    ``reports``: entry_pos, BrokenFile, Accessible of the entries analysed; one chosen for analysis without a report failed.
+    """
+    met = scheduled.where("outcome <> 'waiting'").select("entry_pos", "outcome").join(reports.select("entry_pos", "BrokenFile", "Accessible", F.lit(True).alias("judged")), "entry_pos", "left")
+    of = F.col("outcome")
+    named = (
+        F.when(of == "missing", "not found").when(of == "stale", "stale").when(of != "analyse", "skipped").when(F.col("judged").isNull(), "errors")
+        .when(F.coalesce("BrokenFile", F.lit(False)), "broken").when(F.coalesce("Accessible", F.lit(False)), "accessible").otherwise("issues")
+    )
+    return met.groupBy(named.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def needs_analysis(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Entries that are pending or whose file ``(url, md5)`` is there with other content."""
     found = files.where("url IS NOT NULL").groupBy("url").agg(F.min("md5").alias("_md5"))

@@ -75,6 +75,11 @@ def _located(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _located(spark, path)
+    return fs.exists(at)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file of any file system that Spark can reach; None if there is none."""
     fs, at = _located(spark, path)
@@ -87,6 +92,23 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         opened.close()
 
 
+def read_in_task(uri: str) -> bytes:
+    """Content of one file, from a task: any file system that Arrow opens by URI (local, HDFS, object stores)."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as stream:
+        return stream.read()
+
+
+def named_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files that a path or pattern names, hidden ones too, in order of name."""
+    fs, at = _located(spark, pattern)
+    return sorted(str(s.getPath()) for s in fs.globStatus(at) or [] if s.isFile())
+
+
 def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
     """A text file on any file system that Spark can reach, written beside and renamed, so readers see the old or the new one."""
     fs, at = _located(spark, path)

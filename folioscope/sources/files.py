@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import urls
-from folioscope.schema import HISTORY
+from folioscope.runtime import named_files, read_in_task
+from folioscope.schema import HISTORY, VALIDATOR
 
 _MAP = T.MapType(T.StringType(), T.StringType())
 _LIST = T.ArrayType(T.StringType())
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """Text of each file at ``path`` (a file or pattern); no rows if there is none.
+    """``(value, folder)``: text of each file at ``path`` (a file or pattern); no rows if there is none.
 
-    The state files of a crawl begin with an underscore, which Spark's readers skip, so they are
-    opened through the file system itself: one small file per crawl, limited by its page cap.
+    The state files of a crawl begin with an underscore, which Spark's readers skip. So the driver lists
+    their paths, and the tasks open them.
     """
-    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = []
-    for status in fs.globStatus(at) or []:
-        if status.isFile():
-            opened = fs.open(status.getPath())
-            try:
-                rows.append((jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"), status.getPath().getParent().toString()))
-            finally:
-                opened.close()
-    return spark.createDataFrame(rows, "value string, folder string")
+    found = [(p,) for p in named_files(spark, path)]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p in f["path"]:
+                yield pd.DataFrame({"value": [read_in_task(p).decode("utf-8", "replace")], "folder": [p.rpartition("/")[0]]})
+
+    paths = spark.createDataFrame(found, "path string")
+    return paths.repartition(min(len(found), 1000), "path").mapInPandas(read, "value string, folder string") if found else spark.createDataFrame([], "value string, folder string")
 
 
 def name_map(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -45,11 +49,11 @@ def crawled_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def link_inventory(pages: DataFrame, names: DataFrame, referers: DataFrame) -> DataFrame:
-    """``(part, seq, url, type, referer)``: pages as visited, then downloads by file name."""
-    seen = pages.select(F.lit(0).alias("part"), F.col("seq").cast("string").alias("seq"), "url", F.lit("page").alias("type"), F.lit("").alias("referer"))
+    """``(part, at, seq, url, type, referer)``: pages as visited (``at``), then downloads by file name (``seq``)."""
+    seen = pages.select(F.lit(0).alias("part"), F.col("seq").cast("bigint").alias("at"), F.lit("").alias("seq"), "url", F.lit("page").alias("type"), F.lit("").alias("referer"))
     files = names.join(referers, ["folder", "filename"], "left")
     kind = F.regexp_replace(urls.suffix(F.lower("filename")), "^[.]", "")
-    got = files.select(F.lit(1).alias("part"), F.col("filename").alias("seq"), "url", F.when(kind == "", "file").otherwise(kind).alias("type"), F.coalesce("referer", F.lit("")).alias("referer"))
+    got = files.select(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("at"), F.col("filename").alias("seq"), "url", F.when(kind == "", "file").otherwise(kind).alias("type"), F.coalesce("referer", F.lit("")).alias("referer"))
     return seen.unionByName(got)
 
 
@@ -75,6 +79,16 @@ def anchors(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     return found.withColumn("target", urls.resolve(F.col("url"), F.col("href")))
 
 
+def visited(responses: DataFrame, cap: int | None = None) -> DataFrame:
+    """Pages of a crawl in order of visit: HTML responses that were not fetched only to see what they are, at most ``cap`` of them.
+
+    ``responses``: seq, url, content_type, no_follow (null means no). The cap is the crawl's own limit.
+    """
+    is_html = F.coalesce(F.lower("content_type"), F.lit("")).contains("html")
+    pages = responses.where(is_html & ~F.coalesce("no_follow", F.lit(False))).orderBy("seq")
+    return pages if cap is None else pages.limit(cap)
+
+
 def is_pdf_response(content_type: Column) -> Column:
     return F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False))
 
@@ -94,20 +108,41 @@ def history_index(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).select(F.posexplode(parsed).alias("pos", "scan")).where(F.col("scan").isNotNull()).select("pos", "scan.*")
 
 
+def _validated(text: str) -> dict:
+    """Summary of one machine-readable validation report; fixed values: its element and attribute names, and the error texts."""
+    out: dict = {"compliant": None, "profile": None, "failed_checks": None, "passed_checks": None, "failed_rules": [], "error": None}
+    if not text.strip():
+        return out | {"error": "veraPDF produced no output"}
+    try:
+        elements = list(ElementTree.fromstring(text.strip().encode("utf-8", "replace")).iter())
+    except ElementTree.ParseError as error:
+        return out | {"error": f"veraPDF XML parse error: {error}"}
+    named = lambda among, name: [e for e in among if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == name]
+    report = next(iter(named(elements, "validationReport")), None)
+    if report is None:
+        failed = named(elements, "exceptionMessage")
+        return out | {"error": (failed[0].text or "veraPDF exception (no message)") if failed else "No validationReport element in veraPDF output"}
+    out |= {"profile": report.get("profileName"), "compliant": {"true": True, "false": False}.get((report.get("isCompliant") or "").lower())}
+    for details in named(report.iter(), "details")[:1]:
+        for key, attribute in (("failed_checks", "failedChecks"), ("passed_checks", "passedChecks")):
+            if re.fullmatch(r"\s*[+-]?\d+\s*", details.get(attribute) or ""):
+                out[key] = int(details.get(attribute))
+        rules = (r for r in named(details.iter(), "rule") if r.get("status") == "FAILED")
+        out["failed_rules"] = [x for r in rules if (x := "-".join(filter(None, (r.get("clause"), r.get("testNumber")))))]
+    return out
+
+
+@F.pandas_udf(VALIDATOR)
+def _summaries(texts: pd.Series) -> pd.DataFrame:
+    found = [dict.fromkeys(VALIDATOR.fieldNames()) if t is None else _validated(t) for t in texts]
+    columns = {n: [f[n] for f in found] for n in VALIDATOR.fieldNames()}
+    return pd.DataFrame({n: pd.array(c, dtype="Int32") if n.endswith("_checks") else pd.Series(c, dtype=object) for n, c in columns.items()})
+
+
 def validator_summary(reports: DataFrame, xml: str = "xml") -> DataFrame:
-    """``validator`` struct of each machine-readable validation report; null where the XML cannot be read.
+    """Add the ``validator`` struct of each machine-readable validation report; null where there is no report at all.
 
-    Failed rules come as ``clause-test`` in document order, blank references dropped.
+    Failed rules come as ``clause-test``, or as the one of both that is given, in document order. Output that is blank, no
+    XML, or an exception of the tool gives a struct with ``error``.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(xml), r"(?s)^.*?(?=<(?!\?|!))", ""), r'\sxmlns(:\w+)?="[^"]*"', "")
-    get = lambda p: F.try_element_at(F.xpath(text, F.lit(p)), F.lit(1))
-    number = lambda p: get(p).cast("int")
-    clauses = F.xpath(text, F.lit("//rule[translate(@status,'FAILED','failed')='failed']/@clause"))
-    tests = F.xpath(text, F.lit("//rule[translate(@status,'FAILED','failed')='failed']/@testNumber"))
-    rules = F.filter(F.transform(F.arrays_zip(clauses.alias("c"), tests.alias("t")), lambda r: F.concat_ws("-", r["c"], r["t"])), lambda r: r != "")
-    summary = F.struct(
-        (F.lower(get("//validationReport/@isCompliant")) == "true").alias("compliant"), get("//validationReport/@profileName").alias("profile"),
-        number("//details/@failedRules").alias("failed_checks"), number("//details/@passedRules").alias("passed_checks"), rules.alias("failed_rules"), F.lit(None).cast("string").alias("error"),
-    )
-    readable = F.col(xml).contains("<validationReport")
-    return reports.withColumn("validator", F.when(readable, summary))
+    return reports.withColumn("validator", F.when(F.col(xml).isNotNull(), _summaries(F.col(xml))))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from folioscope.runtime import named_files, read_in_task, write_lines
 from folioscope.schema import ENTRY
 
 NAME = "manifest_yaml"
@@ -40,7 +40,8 @@ class ManifestSource(DataSource):
         return "file string, entry_pos bigint, entry string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options.get("path", ""))
+        listed = self.options.get("files")
+        return _Reader(json.loads(listed) if listed is not None else [self.options["path"]] if self.options.get("path") else [])
 
 
 class _File(InputPartition):
@@ -49,24 +50,25 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+    """Tasks open the file they are given, wherever it lies; a folder's files are listed in ``files`` by :func:`read_manifest`."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
-        at = Path(self.path)
-        files = sorted(at.glob("*.y*ml")) if at.is_dir() else [at] if at.exists() else []
-        return [_File(str(f)) for f in files] or [_File("")]
+        return [_File(p) for p in self.paths] or [_File("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.path:
-            for pos, entry in enumerate(load_entries(Path(partition.path).read_text("utf-8"))):
+            for pos, entry in enumerate(load_entries(read_in_task(partition.path).decode("utf-8"))):
                 yield partition.path, pos, json.dumps(entry, default=str)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Typed entries with ``entry_pos``; a missing file is an empty manifest, unknown keys are ignored."""
     spark.dataSource.register(ManifestSource)
-    raw = spark.read.format(NAME).load(path)
+    listed = named_files(spark, path) or named_files(spark, f"{path}/*.y*ml")
+    raw = spark.read.format(NAME).option("files", json.dumps(listed)).load(path)
     return raw.select("entry_pos", F.from_json("entry", ENTRY).alias("e")).select("entry_pos", "e.*")
 
 
@@ -81,13 +83,14 @@ def dump_entries(rows: Iterator[dict]) -> Iterator[str]:
 
 def write_manifest(entries: DataFrame, path: str) -> None:
     """Export to one YAML file in order, streaming rows through the driver; the list is one document by its format."""
-    target = Path(path.removeprefix("file://"))
-    target.parent.mkdir(parents=True, exist_ok=True)
     ordered = entries.orderBy("entry_pos").toLocalIterator()
-    with target.open("w", encoding="utf-8") as out:
+
+    def lines() -> Iterator[str]:
         empty = True
         for text in dump_entries(r.asDict(recursive=True) for r in ordered):
-            out.write(text)
             empty = False
+            yield text
         if empty:
-            out.write("[]\n")
+            yield "[]\n"
+
+    write_lines(entries.sparkSession, path, lines())

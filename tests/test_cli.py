@@ -28,8 +28,10 @@ def test_crawl_analyse_report(spark, tmp_path, monkeypatch):
     assert bad["report"]["BrokenFile"] is True and bad["report"]["Accessible"] is None
     (site / "a.pdf").unlink()
     assert cli.main(["crawl", "--url", "h.example", "--output-dir", str(tmp_path / "files"), "--report-dir", str(tmp_path / "out"), "--manifest", m, "--notes", "again"]) == 0
-    assert cli.main(["report", "--report-dir", str(tmp_path / "out"), "--site", "h.example", "--issue-comment-file", str(tmp_path / "c.md"), "--archive-dir", str(tmp_path / "arc"), "--manifest", m]) == 0
-    assert "| Total files | 2 |" in (tmp_path / "out" / "report.md").read_text() and len(list((tmp_path / "arc").iterdir())) == 1
+    assert cli.main(["report", "--report-dir", str(tmp_path / "out"), "--site", "h.example", "--issue-comment-file", str(tmp_path / "c.md"), "--archive-dir", str(tmp_path / "arc"), "--html-dir", str(tmp_path / "html"), "--crawled-dir", str(tmp_path / "files"), "--manifest", m]) == 0
+    assert "| Total files tracked | 2 |" in (tmp_path / "out" / "report.md").read_text() and "| URLs crawled | 1 |" in (tmp_path / "out" / "report.md").read_text()
+    assert {p.name for p in (tmp_path / "arc").iterdir() if not p.name.endswith((".crc", ".html"))} == {"index.json", "report.json", "report.csv", "manifest.yaml"}
+    assert (tmp_path / "out" / "crawled_urls.csv").read_bytes().startswith(b"url,type,referer\r\nhttps://h.example/,page,\r\n") and "🌐 URLs crawled | 1" in (tmp_path / "c.md").read_text()
     with pytest.raises(SystemExit):
         cli.main(["crawl", "--url", "https://h.example/a.pdf", "--manifest", m])
 
@@ -42,16 +44,16 @@ def test_pages_hold_every_row_and_the_history_every_scan(spark, tmp_path, monkey
     monkeypatch.setattr(cli, "session", lambda: spark)
     m, out, arc = tmp_path / "m.yaml", tmp_path / "out", tmp_path / "arc"
     m.write_text("".join(f'- {{url: "u{i}</script>", filename: f{i}.pdf, site: s{i % 2}, status: pending, errors: []}}\n' for i in range(5)))
-    args = ["report", "--report-dir", str(out), "--archive-dir", str(arc), "--manifest", str(m)]
+    args = ["report", "--report-dir", str(out), "--html-dir", str(out), "--archive-dir", str(arc), "--manifest", str(m)]
     assert cli.main([*args, "--site", "s1", "--crawl-url", "https://s1/"]) == 0 and cli.main(args) == 0
     whole = embedded(out / "report.html")
-    assert [f["url"] for f in whole["files"]] == [f"u{i}</script>" for i in range(5)] and whole["summary"]["total"] == 5
-    history = json.loads((out / "reports.json").read_text("utf-8"))
-    assert [(e["site"], e["crawl_url"], e["total"]) for e in history] == [("all", None, 5), ("s1", "https://s1/", 2)]
+    assert [f["url"] for f in whole["files"]] == [f"u{i}</script>" for i in range(5)] and whole["summary"]["total_files"] == 5
+    history = json.loads((arc / "index.json").read_text("utf-8"))
+    assert [(e["site"], e["crawl_url"], e["total"]) for e in history] == [("all", "", 5), ("s1", "https://s1/", 2)]
     assert [len(embedded(arc / e["archive_file"])["files"]) for e in history] == [5, 2]
-    assert embedded(out / "reports.html") == "../arc" and "reports.json" in (out / "reports.html").read_text("utf-8")
-    cli.sinks.add_to_history(spark, history[1], out / "reports.json")
-    assert json.loads((out / "reports.json").read_text("utf-8")) == history
+    assert embedded(out / "reports.html") == "../arc" and "index.json" in (out / "reports.html").read_text("utf-8")
+    cli.sinks.add_to_history(spark, history[1], str(arc / "index.json"))
+    assert json.loads((arc / "index.json").read_text("utf-8")) == history
 
 
 def test_missing_file_is_an_error(spark, tmp_path, monkeypatch):
@@ -60,4 +62,4 @@ def test_missing_file_is_an_error(spark, tmp_path, monkeypatch):
     m.write_text("- {url: u, filename: f.pdf, site: s, status: pending, errors: []}\n")
     assert cli.main(["analyse", "--crawled-dir", str(tmp_path / "none"), "--manifest", str(m)]) == 0
     row = cli.read_manifest(spark, str(m)).first()
-    assert row["status"] == "error" and row["errors"] == ["File not found on disk"]
+    assert row["status"] == "error" and row["errors"][0].startswith("File not found: ") and "none/s/f.pdf. Possible causes" in row["errors"][0]

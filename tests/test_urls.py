@@ -84,9 +84,9 @@ def test_resolution_on_untidy_pages_equals_the_rfc(spark):
 
 def test_every_crawled_url_gets_a_target_and_an_action(spark):
     rows = audit.links(spark, DATA).select("link_id", "url", F.expr(audit._HREF).alias("href")).collect()
-    got = {r["link_id"]: r["target"] for r in audit.QUERIES["resolved_links_all"](spark, DATA).collect()}
+    got = {r["link_id"]: r["target"] for r in audit.QUERIES["resolved_links"](spark, DATA).collect()}
     assert len(got) == len(rows) and all(got[r["link_id"]] == resolved(r["url"], r["href"]) for r in rows)
-    actions = audit.QUERIES["link_actions_all"](spark, DATA)
+    actions = audit.QUERIES["link_actions"](spark, DATA)
     assert actions.where("action IS NOT NULL").count() == len(rows)
 
 
@@ -105,9 +105,11 @@ def test_names_and_domains(spark):
 
 
 def test_seeds(spark):
-    rows = [("HTTPS://WWW.A.example/Path",), (" a.example/x ",), ("a..b",), ("just words",), ("https://10.0.0.1/",)]
+    rows = [("https://WWW.A.example/Path",), ("//a.example/x",), ("a..b",), ("just words",), ("https://10.0.0.1/",)]
     got = values(spark, rows, urls.normalized(F.col("c0")), urls.is_submittable(F.col("c0")))
-    assert got == [("HTTPS://www.a.example/Path", True), ("https://a.example/x", False), (None, False), (None, False), ("https://10.0.0.1/", False)]
+    assert got == [("https://www.a.example/Path", True), ("https://a.example/x", False), ("https://a..b", False), ("https://just words", False), ("https://10.0.0.1/", False)]
+    answers = F.array(F.lit("http://www.a.example/x"), F.lit("http://a.example/x"), F.lit("https://just words"))
+    assert [r[0] for r in values(spark, rows, urls.normalized(F.col("c0"), answers))] == ["https://www.a.example/Path", "http://a.example/x", "https://a..b", "https://just words", "https://10.0.0.1/"]
 
 
 def test_anchors(spark):
@@ -135,3 +137,14 @@ def test_file_identity():
 @pytest.mark.parametrize("odd", ["https://", "://", "?", "#", "h.example:443", "https://[::1]/a", "é/\udcff", "https://h/%", "a:b:c"])
 def test_odd_urls_do_not_fail(odd):
     file_identity(odd)
+
+
+def test_dates(spark):
+    from folioscope.functions import times
+
+    rows = [(t,) for t in ("D:20200102030405+1'0'", "D:20200102030405+01", "D:20200102030405+01'30'", "D:20200102030405+'x'", "D:20200102030405-05'00'", "D:2020", "CPY Document 1", "", "2020-01-02T03:04:05+0130", "Thu, 2 Jan 2020 03:04:05 +0100", "Jan 2, 2020", "soon", None)]
+    at = times.pdf_date(F.col("c0"))
+    got = values(spark, rows, times.at_offset(at, times.offset_minutes(F.col("c0"))))
+    assert [r[0] for r in got] == ["2020-01-02 03:04:05+01:00", "2020-01-02 03:04:05+01:00", "2020-01-02 03:04:05+01:30", None, "2020-01-02 03:04:05-05:00", "2020-01-01 00:00:00+00:00", None, None, "2020-01-02 03:04:05+01:30", "2020-01-02 03:04:05+01:00", "2020-01-02 00:00:00+00:00", None, None]
+    ages = values(spark, [("2024-01-31T18:00:00Z",), ("2024-01-30T00:00:00",), ("never",)], times.age_text(times.iso_instant(F.col("c0")), F.to_timestamp(F.lit("2024-02-01 00:00:00")), F.col("c0")))
+    assert [r[0] for r in ages] == ["0.2", "2", "never"]
