@@ -36,13 +36,14 @@ def scan_changes(entries: DataFrame, scan: DataFrame) -> DataFrame:
     return changed.join(starts, "url", "left").withColumn("needs_scan", needs).drop("_from", "old_status")
 
 
-def upsert(entries: DataFrame, scan: DataFrame) -> DataFrame:
+def upsert(entries: DataFrame, scan: DataFrame, top: int | None = None) -> DataFrame:
     """``entries`` after a scan: new URLs appended as pending, changed contents reset to pending.
 
     A changed entry takes content hash and crawl time of the last change and loses report and
     errors, but keeps its filename and site; a new entry keeps those of its first file. Unchanged
     entries, errors among them, stay as they are, except that a non-empty note replaces theirs.
-    Files without URL are ignored. New entries are numbered by position after the old ones.
+    Files without URL are ignored. New entries are numbered by position after the old ones, or after ``top`` where ``entries``
+    are only a part of the manifest.
     """
     seen = scan_changes(entries, scan)
     note = F.nullif(F.col("notes"), F.lit(""))
@@ -62,9 +63,9 @@ def upsert(entries: DataFrame, scan: DataFrame) -> DataFrame:
         "entry_pos", "url", reset(F.col("last.md5"), "md5"), "filename", "site", reset(F.col("last.crawled_at"), "crawled_at"),
         reset(F.lit("pending"), "status"), reset(F.lit(None).cast(entries.schema["report"].dataType), "report"), reset(none, "errors"), F.coalesce("note", "notes").alias("notes"),
     )
-    top = entries.agg(F.coalesce(F.max("entry_pos"), F.lit(0))).scalar()
+    above = entries.agg(F.coalesce(F.max("entry_pos"), F.lit(0))).scalar() if top is None else F.lit(top)
     added = per_url.where("NOT known").select(
-        (top + 1 + F.col("first_pos")).cast("bigint").alias("entry_pos"), "url", F.col("last.md5").alias("md5"), F.col("first.filename").alias("filename"), F.col("first.site").alias("site"),
+        (above + 1 + F.col("first_pos")).cast("bigint").alias("entry_pos"), "url", F.col("last.md5").alias("md5"), F.col("first.filename").alias("filename"), F.col("first.site").alias("site"),
         F.col("last.crawled_at").alias("crawled_at"), F.lit("pending").alias("status"), F.lit(None).cast(entries.schema["report"].dataType).alias("report"), none.alias("errors"), F.col("note").alias("notes"),
     )
     return updated.unionByName(added)

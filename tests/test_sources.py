@@ -157,15 +157,20 @@ def test_images_count_by_page_and_form():
 
 
 def test_streaming_upkeep(spark, tmp_path):
-    from folioscope.streaming.arrivals import links_per_window, maintain
+    from folioscope.streaming.arrivals import ManifestTable, links_per_window, maintain
 
     layout = "entry_pos bigint, url string, md5 string, filename string, site string, crawled_at string, status string, report string, errors array<string>, notes string"
-    spark.createDataFrame([(0, "u1", "a", "f", "s", "t", "analysed", "r", ["e"], None)], layout).write.parquet(f"{tmp_path}/m/v=0")
+    start = [(0, "u1", "a", "f", "s", "t", "analysed", "r", ["e"], None)] + [(i, f"other{i}", "a", "f", "s", "t", "analysed", "r", [], None) for i in range(1, 30)]
+    ManifestTable.create(spark.createDataFrame(start, layout), f"{tmp_path}/m", buckets=8)
     scan = "scan_pos bigint, url string, md5 string, filename string, site string, crawled_at string, notes string"
     spark.createDataFrame([(1, "u1", "b", "g", "s2", "t2", ""), (2, "u2", "c", "h", "s", "t2", "n")], scan).coalesce(1).write.parquet(f"{tmp_path}/in")
     query = maintain(spark, spark.readStream.schema(scan).parquet(f"{tmp_path}/in"), f"{tmp_path}/m", f"{tmp_path}/cp")
     query.awaitTermination(120)
-    rows = {r["url"]: r for r in spark.read.parquet(f"{tmp_path}/m/v=1").collect()}
+    kept = ManifestTable(spark, f"{tmp_path}/m")
+    rows = {r["url"]: r for r in kept.entries().collect()}
+    assert len(rows) == 31 and rows["u2"]["entry_pos"] > 29 and sum(n == "batch-0" for n in kept.state["held"].values()) <= 2
+    kept.upsert(spark.createDataFrame([(1, "u1", "zz", "g", "s2", "t2", "")], scan), 0)  # a batch that is run again
+    assert ManifestTable(spark, f"{tmp_path}/m").entries().where("md5 = 'zz'").isEmpty()
     assert (rows["u1"]["md5"], rows["u1"]["status"], rows["u1"]["filename"], rows["u1"]["errors"]) == ("b", "pending", "f", [])
     assert rows["u2"]["status"] == "pending" and rows["u2"]["notes"] == "n"
     links = spark.readStream.schema("link_id bigint, url string, type string, referer string, seen_at timestamp").parquet("/root/testdata/sf0.001/crawled_urls.parquet*")
