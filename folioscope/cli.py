@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -15,12 +16,16 @@ from folioscope.functions import urls
 from folioscope.functions.times import age_days, age_text, iso_instant
 from folioscope.operators import analysis, manifest, reports
 from folioscope.operators.neighbours import numbered
-from folioscope.runtime import exists, written
+from folioscope.runtime import exists, remove, written
 from folioscope.sources import files, sinks
 from folioscope.sources.pdf_facts import pdf_facts
 from folioscope.sources.yaml_manifest import read_manifest, write_manifest
 
 
+#: Files for each core that are begun before a time budget is looked at again.
+FILES_PER_CORE = 16
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("folioscope").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 
@@ -68,16 +73,28 @@ def analyse(spark: SparkSession, a: argparse.Namespace, now: str) -> DataFrame:
     stale = F.coalesce(age_days(iso_instant(F.col("crawled_at")), F.to_timestamp(F.lit(now))) > a.max_age_days, F.lit(False)) if a.max_age_days is not None else F.lit(False)
     outcome = manifest.schedule(met, F.col("path").isNotNull(), stale, F.col("length") / 1048576.0, a.max_file_size, a.max_files if a.max_files is not None else 2**62)
     outcome = written(outcome, "outcome")
-    done = held
+    done, reached, began = held, outcome.agg(F.max("consumed")).first()[0] or 0, time.monotonic()
+    late = spark.createDataFrame([], "url string, result_pos bigint, ok boolean, errors array<string>")
     if listed is not None:
-        chosen = outcome.where("outcome = 'analyse'").select("path", "url")
-        facts = pdf_facts(listed, a.max_file_size).join(chosen, "path")
-        done = analysis.stored(held, analysis.reports_of(facts, languages(spark)))
+        last, reached = min(reached, a.max_files if a.max_files is not None else reached), 0
+        step = spark.sparkContext.defaultParallelism * FILES_PER_CORE if a.total_timeout is not None else max(last, 1)
+        while reached < last and (a.total_timeout is None or time.monotonic() - began < a.total_timeout):
+            chosen = outcome.where((F.col("outcome") == "analyse") & (F.col("consumed") > reached) & (F.col("consumed") <= reached + step)).select("path", "url", "entry_pos")
+            facts = written(pdf_facts(listed, a.max_file_size, a.per_file_timeout).join(chosen, "path"), "facts")
+            timed_out = F.coalesce(F.col("error_kind") == "timeout", F.lit(False))
+            done = written(analysis.stored(done, analysis.reports_of(facts.where(~timed_out), languages(spark))), "done")
+            late = late.unionByName(facts.where(timed_out).select("url", F.col("entry_pos").alias("result_pos"), F.lit(False).alias("ok"), F.array("open_error").alias("errors")))
+            reached = min(reached + step, last)
+        if reached < last:  # out of time: the entries behind stay as they are
+            outcome = outcome.withColumn("outcome", F.when(F.col("consumed") > reached, "waiting").otherwise(F.col("outcome")))
     at, at_now = iso_instant(F.col("crawled_at")), F.to_timestamp(F.lit(now))
     age = F.when(at.isNotNull(), age_text(at, at_now, F.lit(None).cast("string")))
     errors = manifest.guard_errors(outcome.withColumn("size_mb", F.col("length") / 1048576.0), a.crawled_dir, age, a.max_file_size, a.max_age_days)
     failed = errors.select("url", F.col("entry_pos").alias("result_pos"), F.lit(False).alias("ok"), F.array("error").alias("errors"))
-    write_manifest(written(manifest.mark(done, failed), "manifest"), a.manifest)
+    write_manifest(written(manifest.mark(done, failed.unionByName(late)), "manifest"), a.manifest)
+    if a.purge:
+        for r in outcome.where("path IS NOT NULL AND outcome IN ('analyse', 'not_pdf', 'oversize')").select("path").toLocalIterator():
+            remove(spark, r["path"])
     return outcome.groupBy("outcome").count()
 
 
@@ -124,6 +141,10 @@ def main(argv: list[str] | None = None) -> int:
     check.add_argument("--max-file-size", type=float, default=200)
     check.add_argument("--max-age-days", type=float)
     check.add_argument("--max-files", type=int)
+    check.add_argument("--per-file-timeout", type=float, default=120, help="seconds for one file")
+    check.add_argument("--total-timeout", type=float, help="seconds after which no more files are begun; the rest waits for the next run")
+    check.add_argument("--purge", action="store_true", help="delete the files that were dealt with; they are kept otherwise")
+    check.add_argument("--keep-files", action="store_true", help="accepted for scripts; files are kept unless --purge is given")
     report = commands.add_parser("report", help="write the reports")
     report.add_argument("--report-dir", default="reports")
     report.add_argument("--site")

@@ -57,7 +57,11 @@ def issue_number(url: Column) -> Column:
 
 
 def percent_encoded(text: Column) -> Column:
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encoded as browsers encode a component: letters, digits and ``-_.!~*'()`` stay."""
+    out = F.url_encode(text)
+    for coded, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
 
 
 def is_language_tag(tag: Column, languages: list[str]) -> Column:
@@ -66,7 +70,12 @@ def is_language_tag(tag: Column, languages: list[str]) -> Column:
     return tag.rlike(shape) & F.lower(F.substring_index(tag, "-", 1)).isin(*languages)
 
 
-def scan_request(url: Column, max_pages: Column) -> Column:
-    """Query part of a scan request: percent-encoded title and body, with the page cap only if it is positive."""
-    body = F.concat(F.lit("url: "), url, F.when(max_pages > 0, F.concat(F.lit("\nmax-pages: "), max_pages.cast("string"))).otherwise(""))
-    return F.concat(F.lit("title="), percent_encoded(F.concat(F.lit("SCAN: "), url)), F.lit("&body="), percent_encoded(body))
+def scan_request(url: Column, notes: Column, max_pages: Column, closing: str) -> Column:
+    """Query part of a scan request: percent-encoded title and body, with notes only if there are any and the page cap only if it is positive.
+
+    Fixed values: the phrases before ``closing``.
+    """
+    noted = F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("**Notes:** "), notes, F.lit("\n\n"))).otherwise("")
+    capped = F.when(max_pages > 0, F.concat(F.lit("Number: "), max_pages.cast("string"), F.lit("\n\n"))).otherwise("")
+    body = F.concat(F.lit("## Scan Request\n\n**URL:** "), url, F.lit("\n\n"), noted, capped, F.lit(closing))
+    return F.concat(F.lit("?title="), percent_encoded(F.concat(F.lit("SCAN: "), url)), F.lit("&body="), percent_encoded(body))

@@ -196,7 +196,7 @@ def crawl_age_texts(spark, d):
 
 
 def scan_requests(spark, d):
-    return links(spark, d).select("link_id", texts.scan_request(F.col("url"), F.col("link_id") % 5 - 1).alias("request"))
+    return links(spark, d).select("link_id", texts.scan_request(F.col("url"), F.when(F.col("link_id") % 2 == 0, "it's (new)!"), F.col("link_id") % 5 - 1, "Thank you.").alias("request"))
 
 
 def exempt_orders(spark, d):
@@ -467,6 +467,7 @@ _JUDGED = f"""f AS ({FACTS.replace(" AS STRING", " AS VARCHAR")}), g AS (SELECT
  o AS (SELECT *, CASE WHEN open_error IS NOT NULL THEN '-' WHEN has_xmp AND title_ok AND tagged_ok AND "ProtectedTest" = 'Pass' AND lang_ok AND marks_ok THEN 'true' ELSE 'false' END AS "Accessible", CASE WHEN (NOT tagged_ok AND NOT fonts_ok) OR "ProtectedTest" = 'Fail' THEN 'true' ELSE 'false' END AS "TotallyInaccessible",
  CASE WHEN open_error IS NOT NULL THEN 'true' ELSE 'false' END AS "BrokenFile", CASE WHEN n_fields > 0 THEN 'false' WHEN has_xmp AND doc_date < TIMESTAMPTZ '2018-09-22 22:00:00+00' THEN 'true' ELSE '-' END AS "Exempt" FROM j)"""
 _PERCENT = "CASE WHEN analysed > 0 THEN CAST(floor(100.0 * accessible / analysed + 0.5) AS INT) END"
+_ENCODED = lambda c: f"replace(replace(replace(replace(replace(url_encode({c}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')"
 _WORDS = texts.WORD.replace("\\x0B", "\\x{0B}")
 
 SQL = {
@@ -488,7 +489,7 @@ SQL = {
     "content_md5": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "duplicate_content": "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "word_counts": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_WORDS}')) AS BIGINT) AS words FROM documents",
-    "escaped_titles": "SELECT doc_id, replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS title, url_encode(coalesce(source, '')) AS source FROM documents",
+    "escaped_titles": f"SELECT doc_id, replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS title, {_ENCODED("coalesce(source, '')")} AS source FROM documents",
     "language_tags": f"SELECT doc_id, coalesce(regexp_matches(lang, '(?i)^[a-z]{{2,3}}(-[a-z]{{4}})?(-([a-z]{{2}}|[0-9]{{3}}))?(-([a-z0-9]{{5,8}}|[0-9][a-z0-9]{{3}}))*(-[a-wyz](-[a-z0-9]{{2,8}})+)*(-x(-[a-z0-9]{{1,8}})+)?$') AND lower(split_part(lang, '-', 1)) IN ({', '.join(repr(x) for x in LANGUAGES)}), false) AS valid FROM documents",
     "crawl_ages": f"WITH {_E} SELECT entry_pos, coalesce(CAST(floor((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us({_INSTANT})) / 86400000000.0) AS BIGINT), -1) AS days, coalesce(substr(report.Date, 1, 10), '—') AS published FROM e",
     "pdf_dates": """WITH r AS (SELECT event_id, event_id % 8 AS k, CAST(date_trunc('second', ts) AS TIMESTAMP) AS t FROM events), o AS (SELECT *, CASE k WHEN 0 THEN 60 WHEN 3 THEN 60 WHEN 4 THEN 60 WHEN 5 THEN -330 WHEN 6 THEN 150 ELSE 0 END AS m FROM r)
@@ -531,7 +532,8 @@ SQL = {
     "visited_pages": f"SELECT link_id AS seq, url FROM crawled_urls WHERE type = 'page' AND link_id % 7 <> 0 ORDER BY link_id LIMIT {MAX_PAGES}",
     "pdf_responses": "SELECT link_id AS seq FROM crawled_urls WHERE type <> 'page' AND link_id % 2 = 0",
     "crawl_age_texts": f"WITH {_E}, a AS (SELECT entry_pos, crawled_at, (epoch_us(TIMESTAMPTZ '2024-02-01 00:00:00+00') - epoch_us({_INSTANT})) / CAST(86400000000.0 AS DOUBLE) AS days FROM e) SELECT entry_pos, CASE WHEN days IS NULL THEN crawled_at WHEN days < 1 THEN printf('%.1f', round_even(days, 1)) ELSE CAST(CAST(floor(days) AS BIGINT) AS VARCHAR) END AS age FROM a",
-    "scan_requests": "SELECT link_id, 'title=' || url_encode('SCAN: ' || url) || '&body=' || url_encode('url: ' || url || CASE WHEN link_id % 5 - 1 > 0 THEN chr(10) || 'max-pages: ' || (link_id % 5 - 1) ELSE '' END) AS request FROM crawled_urls",
+    "scan_requests": f"""WITH r AS (SELECT link_id, 'SCAN: ' || url AS t, '## Scan Request' || chr(10) || chr(10) || '**URL:** ' || url || chr(10) || chr(10) || CASE WHEN link_id % 2 = 0 THEN '**Notes:** it' || chr(39) || 's (new)!' || chr(10) || chr(10) ELSE '' END || CASE WHEN link_id % 5 - 1 > 0 THEN 'Number: ' || (link_id % 5 - 1) || chr(10) || chr(10) ELSE '' END || 'Thank you.' AS b FROM crawled_urls)
+      SELECT link_id, '?title=' || {_ENCODED('t')} || '&body=' || {_ENCODED('b')} AS request FROM r""",
     "guard_errors": rf"""WITH {_E}, {_GUARDED}, d AS (SELECT *, CAST(CAST(floor((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us({_INSTANT})) / 86400000000.0) AS BIGINT) AS VARCHAR) AS days FROM q) SELECT entry_pos, CASE outcome
       WHEN 'missing' THEN 'File not found: files/' || coalesce(site, '') || '/' || coalesce(filename, '') || CASE WHEN days IS NOT NULL THEN ' (crawled ' || days || ' day(s) ago at ' || crawled_at || ')' WHEN coalesce(crawled_at, '') <> '' THEN ' (crawled_at: ' || chr(39) || crawled_at || chr(39) || ')' ELSE '' END || '. Possible causes: failed download, incomplete artifact transfer, or stale manifest entry from a previous run.'
       WHEN 'stale' THEN 'Stale manifest entry: file not found after {MAX_AGE_DAYS}+ days (crawled_at: ' || crawled_at || '). The file was probably downloaded in a previous run whose crawled_files directory is no longer available.'

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import html
 import re
+import signal
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -220,6 +223,29 @@ def _words(f: _File, pages: list[bytes]) -> int | None:
         return None
 
 
+class OutOfTime(BaseException):
+    """A file takes longer than it may; no reader below catches it."""
+
+
+@contextmanager
+def _at_most(seconds: float | None) -> Iterator[None]:
+    """Ends the work inside after ``seconds``, by an alarm to the worker's own process."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise OutOfTime
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def read_facts(data: bytes) -> dict:
     """Facts of one file. A damaged or foreign file has ``open_error`` and ``error_kind``, and what was found before."""
     facts = dict(_EMPTY)
@@ -276,11 +302,21 @@ def read_facts(data: bytes) -> dict:
     return facts
 
 
-def pdf_facts(files: DataFrame, max_mb: float = 200) -> DataFrame:
-    """``path`` and facts of each file of a ``binaryFile`` table up to ``max_mb``; larger files are not opened."""
+def pdf_facts(files: DataFrame, max_mb: float = 200, seconds: float | None = 120) -> DataFrame:
+    """``path`` and facts of each file of a ``binaryFile`` table up to ``max_mb``; larger files are not opened.
+
+    A file that takes longer than ``seconds`` has the error kind ``timeout`` and no facts.
+    """
+    def one(content: bytes) -> dict:
+        try:
+            with _at_most(seconds):
+                return read_facts(content)
+        except OutOfTime:
+            return _EMPTY | {"open_error": f"Analysis timed out after {seconds:g} seconds", "error_kind": "timeout"}
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([{"path": p, **read_facts(c)} for p, c in zip(b["path"], b["content"], strict=True)]).astype(object)
+            yield pd.DataFrame([{"path": p, **one(c)} for p, c in zip(b["path"], b["content"], strict=True)]).astype(object)
 
     layout = T.StructType([T.StructField("path", T.StringType()), *FACTS.fields])
     return files.where(F.col("length") <= max_mb * 1048576).select("path", "content").mapInPandas(read, layout)

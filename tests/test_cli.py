@@ -63,3 +63,35 @@ def test_missing_file_is_an_error(spark, tmp_path, monkeypatch):
     assert cli.main(["analyse", "--crawled-dir", str(tmp_path / "none"), "--manifest", str(m)]) == 0
     row = cli.read_manifest(spark, str(m)).first()
     assert row["status"] == "error" and row["errors"][0].startswith("File not found: ") and "none/s/f.pdf. Possible causes" in row["errors"][0]
+
+
+def test_time_budgets_and_purge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    site = tmp_path / "files" / "s"
+    site.mkdir(parents=True)
+    good = pdf(b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages >>", b"<< /Type /Page >>")
+    for name in ("a.pdf", "b.txt"):
+        (site / name).write_bytes(good)
+    m = tmp_path / "m.yaml"
+    start = "".join(f"- {{url: {n}, filename: {n}, site: s, status: pending, errors: []}}\n" for n in ("a.pdf", "b.txt"))
+    m.write_text(start)
+    args = ["analyse", "--crawled-dir", str(tmp_path / "files"), "--manifest", str(m)]
+    assert cli.main([*args, "--total-timeout", "0"]) == 0
+    assert {r["url"]: r["status"] for r in cli.read_manifest(spark, str(m)).collect()} == {"a.pdf": "pending", "b.txt": "pending"}
+    assert cli.main([*args, "--purge"]) == 0
+    held = {r["url"]: r for r in cli.read_manifest(spark, str(m)).collect()}
+    assert held["a.pdf"]["status"] == "analysed" and held["b.txt"]["errors"] == ["Not a PDF file: .txt"] and not [p for p in site.iterdir() if p.suffix in (".pdf", ".txt")]
+
+
+def test_a_slow_file_is_given_up(spark, tmp_path, monkeypatch):
+    from folioscope.sources import pdf_facts
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7")
+
+    def endless(data):
+        while True:
+            pass
+
+    monkeypatch.setattr(pdf_facts, "read_facts", endless)
+    row = pdf_facts.pdf_facts(spark.read.format("binaryFile").load(str(tmp_path)), seconds=0.5).first()
+    assert row["error_kind"] == "timeout" and row["n_pages"] is None
