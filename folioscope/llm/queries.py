@@ -70,10 +70,8 @@ QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p6_containers
 def _canonical_sql(column: str) -> str:
     bare = lambda c: rf"lower(regexp_replace(regexp_replace({c}, '(?i)%(20|09|0[a-d]|C2%A0|C2%85|E1%9A%80|E2%80%8[0-9a-f]|E2%80%A[89f]|E2%81%9F|E3%80%80)', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'))"
     text = f"coalesce({column}, '')"
-    head = f"split_part({text}, '#', 1)"
-    base = f"split_part({head}, '?', 1)"
-    query = f"substr({head}, length({base}) + 2)"
-    return f"{bare(base)} || array_to_string(list_sort(list_transform(string_split({query}, '&'), lambda x: {bare('x')})), '') || {bare(f'substr({text}, length({head}) + 1)')}"
+    base = f"split_part({text}, '?', 1)"
+    return f"{bare(base)} || array_to_string(list_sort(list_transform(string_split_regex(substr({text}, length({base}) + 2), '[&#]'), lambda x: {bare('x')})), '')"
 
 
 _KEYED = f"WITH k AS (SELECT link_id, type, {_canonical_sql('url')} AS u, {_canonical_sql('referer')} AS r FROM crawled_urls)"

@@ -28,13 +28,14 @@ def bare(text: Column) -> Column:
 
 
 def canonical_link(url: Column) -> Column:
-    """Letters and digits of ``url`` in lower case, with the query parameters in order."""
+    """Letters and digits of ``url`` in lower case, with the query parameters in order.
+
+    A ``#`` is punctuation like any other: behind the ``?`` it ends a parameter, as ``&`` does, whether or not parameters follow it.
+    """
     text = F.coalesce(url, F.lit(""))
-    head = F.substring_index(text, "#", 1)
-    base = F.substring_index(head, "?", 1)
-    query = F.substr(head, F.length(base) + 2)
-    params = F.array_sort(F.transform(F.split(query, "&"), bare))
-    return F.concat(bare(base), F.array_join(params, ""), bare(F.substr(text, F.length(head) + 1)))
+    base = F.substring_index(text, "?", 1)
+    params = F.array_sort(F.transform(F.split(F.substr(text, F.length(base) + 2), "[&#]"), bare))
+    return F.concat(bare(base), F.array_join(params, ""))
 
 
 def _keyed(df: DataFrame, ident: str, exact: Sequence[str], links: Sequence[str]) -> DataFrame:

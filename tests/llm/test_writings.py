@@ -10,9 +10,8 @@ LAYOUT = "link_id bigint, type string, url string, referer string, h string, fir
 
 def canonical(text):
     bare = lambda t: "".join(c for c in re.sub("(?i)%20|%0a|%09|%c2%a0", "", t) if c.isalnum()).lower()
-    head, _, fragment = (text or "").partition("#")
-    base, _, query = head.partition("?")
-    return bare(base) + "".join(sorted(map(bare, query.split("&")))) + bare(fragment)
+    base, _, rest = (text or "").partition("?")
+    return bare(base) + "".join(sorted(map(bare, re.split("[&#]", rest))))
 
 
 def brute(rows):
@@ -26,6 +25,7 @@ ROWS = [
     (1, "pdf", "https://h.example/a-b.pdf?v=1&file=x", None, "", ""), (2, "pdf", " HTTPS://H.example\\A_B.pdf?file=x&v=1 ", "-", "", ""), (3, "page", "https://h.example/a-b.pdf?v=1&file=x", "", "", ""),
     (4, "pdf", "https://h.example/a%20b.pdf?v=1&file=x/", " ", "", ""), (5, "pdf", "http://h.example/ab.pdf?v=1&file=x", "", "", ""), (6, "pdf", "https://h.example/ab.pdf?v=1&file=x", "https://r.example/", "", ""),
     (7, None, None, None, "", ""), (8, None, "", "?", "", ""), (9, "pdf", "x" * 200_000, None, "", ""), (10, "pdf", "X-" * 200_000, None, "", ""), (11, "pdf", "https://h.example/é", None, "", ""), (12, "pdf", "HTTPS://h.example/É", None, "", ""),
+    (13, "page", "https://h.example/i?sort=t&page=9&x=1", None, "", ""), (14, "page", "https://h.example/i?x=1#&page=9&sort=t", "#", "", ""), (15, "page", "https://h.example/i?page=9&x=1&sort=t#top", None, "", ""), (16, "page", "https://h.example/i?sort=t&page=9&x=1#top", None, "", ""),
 ]
 
 
@@ -40,6 +40,8 @@ def check(spark, rows):
 
 def test_writings(spark):
     check(spark, ROWS)
+    groups = {frozenset(g) for g in brute(ROWS).values()}
+    assert {13, 14} in groups and {15, 16} in groups
 
 
 @pytest.mark.parametrize("groups", [100, 1])
