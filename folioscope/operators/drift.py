@@ -210,7 +210,7 @@ def renames(records: DataFrame, steps: DataFrame, feed: Feed) -> DataFrame:
                     rows += [(step, role, document, p, _clean(v if isinstance(v := held[p], str) else json.dumps(v, sort_keys=True))) for p in paths & held.keys()]
             yield pd.DataFrame(rows, columns=["step", "role", "document", "path", "value"])
 
-    met = narrow.join(roles, "at").select("document", "text", "roles")
+    met = spread(narrow).join(roles, "at").select("document", "text", "roles")
     facts = met.mapInPandas(values, f"step {step_kind}, role string, document string, path string, value string").groupBy("step", "role", "document", "path").agg(F.min("value").alias("value"))
     side = lambda role: F.collect_list(F.when(F.col("role") == role, F.struct("path", "value"))).alias(role)
     common = (  # a document meets only its own record in the other file; fields that moved are few
